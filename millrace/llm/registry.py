@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup
+from . import bpe_codec, exact_dedup, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_exact_dedup": exact_dedup.op8_exact_dedup}
+    return {
+        "op7_bpe_codec": bpe_codec.op7_bpe_codec,
+        "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+        "op10_token_counts": token_counts.op10_token_counts,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
