@@ -72,8 +72,9 @@ def gapless_rank(df: DataFrame, keys: list[str], order: list[Column], salt: Colu
     """0, 1, 2 ... within ``keys``, without bringing the rows of a key into one task.
 
     Rows are numbered inside (keys, salt); the counts per (keys, salt) give each salt's
-    start. ``salt`` must be a hash of the row that does not change when it is recomputed.
-    The number of salts follows the shuffle partitions, so it grows with the cluster.
+    start. ``salt`` must be a hash of the row that does not change when it is recomputed;
+    ``keys`` must not be null. The number of salts follows the shuffle partitions, so it
+    grows with the cluster. ``df`` is read twice: give a written table.
     """
     spark = df.sparkSession
     salts = salts or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -86,7 +87,7 @@ def gapless_rank(df: DataFrame, keys: list[str], order: list[Column], salt: Colu
     ranked = salted.withColumn("_local", F.row_number().over(local) - 1)
     on = F.col("_salt") == F.col("_s")
     for i, k in enumerate(keys):
-        on &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
+        on &= F.col(k) == F.col(f"_k{i}")
     return ranked.join(starts, on).withColumn(out, (F.col("_start") + F.col("_local")).cast("long")).drop("_salt", "_local", "_s", "_start", *[f"_k{i}" for i in range(len(keys))])
 
 

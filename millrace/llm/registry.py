@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, exact_dedup, token_counts
+from . import bpe_codec, exact_dedup, packing, pii, sharding, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_sharding": sharding.op3_sharding,
+        "op6_packing": packing.op6_packing,
         "op7_bpe_codec": bpe_codec.op7_bpe_codec,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+        "op9_pii": pii.op9_pii,
         "op10_token_counts": token_counts.op10_token_counts,
     }
 
