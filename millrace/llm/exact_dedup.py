@@ -21,8 +21,12 @@ from pyspark.sql import functions as F
 
 from .common import documents, scratch_path, sized, written
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-STATE_CLASS = "spark.sql.streaming.stateStore.providerClass"
+#: Disk-backed state. Without preallocation a store of few keys takes kilobytes, not megabytes,
+#: so the number of state partitions costs no disk.
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def sha256(text: Column) -> Column:
@@ -62,13 +66,15 @@ class DedupState:
         def changed(batch: DataFrame, number: int) -> None:
             batch.withColumn("version", F.lit(number)).write.mode("overwrite").parquet(f"{self.folder}/changes/batch={number}")
 
-        before = spark.conf.get(STATE_CLASS, None)
-        spark.conf.set(STATE_CLASS, ROCKSDB)
+        before = {k: spark.conf.get(k, None) for k in STATE_CONF}
+        for k, v in STATE_CONF.items():
+            spark.conf.set(k, v)
         try:
             query = state.writeStream.outputMode("update").foreachBatch(changed).option("checkpointLocation", f"{self.folder}/checkpoint").trigger(availableNow=True).start()
             query.awaitTermination()
         finally:
-            spark.conf.unset(STATE_CLASS) if before is None else spark.conf.set(STATE_CLASS, before)
+            for k, v in before.items():
+                spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
     def fingerprints(self) -> DataFrame:
         return self.spark.read.parquet(self.source)
