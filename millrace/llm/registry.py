@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, exact_dedup, minhash, packing, pii, sharding, token_counts
+from . import bpe_codec, embedding_dedup, exact_dedup, minhash, packing, pii, sharding, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_sharding": sharding.op3_sharding,
+        "op4_embedding_dedup": embedding_dedup.op4_embedding_dedup,
         "op5_minhash": minhash.op5_minhash,
         "op6_packing": packing.op6_packing,
         "op7_bpe_codec": bpe_codec.op7_bpe_codec,
