@@ -26,6 +26,10 @@ from .common import documents, scratch_path, sized, written
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    # all stores of an executor share so much memory
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "8",
 }
 
 
@@ -102,6 +106,7 @@ def dedup_report(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -
     hit = hits.select(F.col("digest").alias("_d"), "keep_id")
     suspects = texts.join(sized(hit, 120), texts["digest"] == hit["_d"]).drop("_d")
     stays = suspects.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy(F.col("digest").alias("_d")).agg(F.max("body").alias("kept_body"))
+    stays = written(stays, "dedup-stays")  # a table of its own, so that AQE can split a hot digest in the join
     differs = suspects.select("digest", "body").join(stays, F.col("digest") == F.col("_d")).where("body <> kept_body").select("digest").distinct()
     differs = written(differs, "dedup-differs")
 
