@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, embedding_dedup, exact_dedup, minhash, packing, pii, sharding, token_counts
+from . import bpe_codec, embedding_dedup, exact_dedup, langid, minhash, packing, pii, sharding, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language_id": langid.op1_language_id,
+        "op2_toxicity": toxicity.op2_toxicity,
         "op3_sharding": sharding.op3_sharding,
         "op4_embedding_dedup": embedding_dedup.op4_embedding_dedup,
         "op5_minhash": minhash.op5_minhash,
