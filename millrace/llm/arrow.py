@@ -5,20 +5,39 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Texts handled between two output batches, so that memory follows these and not the input.
-ROWS = 256
+#: Texts handled at once: so many rows, or so many bytes and one more text.
+ROWS, BYTES = 4096, 6 << 20
 
 
-def map_texts(df: DataFrame, function: Callable[[str], list[tuple] | tuple], schema: str, many: bool = False, setup: Callable[[], Callable] | None = None) -> DataFrame:
-    """Columns of ``df`` but its last, ``text``, followed by what ``function`` makes of it.
+def each(function: Callable[[str], tuple | list]) -> Callable[[list[str]], list]:
+    """A function of texts from a function of one."""
+    return lambda texts: [function(t) for t in texts]
 
-    ``schema`` names the made columns; ``many``: the function returns a list of rows. With
-    ``setup`` the function is made once per task by it, as ``setup()``.
+
+def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    begin = held = 0
+    for k, n in enumerate(sizes.tolist()):
+        held += n
+        if held >= BYTES or k + 1 - begin == ROWS:
+            yield batch.slice(begin, k + 1 - begin)
+            begin, held = k + 1, 0
+    if begin < batch.num_rows:
+        yield batch.slice(begin)
+
+
+def map_texts(df: DataFrame, function: Callable[[list[str]], list] | None, schema: str, many: bool = False, setup: Callable[[], Callable[[list[str]], list]] | None = None) -> DataFrame:
+    """Columns of ``df`` but its last, ``text``, followed by what ``function`` makes of the texts.
+
+    The function takes a list of texts (null as empty) and returns a row for each, or with
+    ``many`` a list of rows for each; ``schema`` names their columns. With ``setup`` it is
+    made once per task, as ``setup()``.
     """
     kept = [f for f in df.schema.fields if f.name != "text"]
     made = T.StructType.fromDDL(schema)
@@ -29,9 +48,8 @@ def map_texts(df: DataFrame, function: Callable[[str], list[tuple] | tuple], sch
         call = setup() if setup else function
         arrow = to_arrow_schema(out)
         for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(at, ROWS)
-                results = [call(t or "") for t in batch.column(width).to_pylist()]
+            for batch in _slices(whole, width):
+                results = call([t or "" for t in batch.column(width).to_pylist()])
                 own: list = [batch.column(i) for i in range(width)]
                 if many:
                     take = pa.array([i for i, rows in enumerate(results) for _ in rows], pa.int64())

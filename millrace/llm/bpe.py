@@ -21,13 +21,16 @@ import unicodedata
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 INF = 1 << 60
 #: White space as the tokenizers' patterns have it.
 SPACE = "\t-\r \x85\xa0  -     　"
 #: Entries of a piece cache before the older half goes.
-CACHE = 200_000
+CACHE = 250_000
 #: Stands for the word-end suffix inside this module.
 END = "\0"
 
@@ -43,7 +46,7 @@ _BYTES = {b: c for b, c in enumerate(byte_chars())}
 
 
 def as_symbols(text: str) -> str:
-    if text.isascii() and text.isprintable() and " " not in text:
+    if text.isascii() and (text.isalpha() or (text.isprintable() and " " not in text)):
         return text
     return text.encode("utf-8", "replace").decode("latin-1").translate(_BYTES)
 
@@ -103,17 +106,15 @@ class Bpe:
         for s, i in self.usable.items():
             self.automaton.add_word(s, (len(s), i))
         self.automaton.make_automaton()
-        self.compatible = Recent(lambda pair: not self._crossed(*pair), 400_000)
-        self.size: dict[int, int] = {i: len(t) for t, i in self.ids.items()}
-        self._next_shorter = Recent(self._prefix)
+        #: keyed by the left id times 2 ** 20 plus the right id
+        self.compatible = Recent(lambda pair: not self._crossed(pair >> 20, pair & 0xFFFFF))
+        self.encode_symbols = self._encoder()
         # decoding: all token strings in one buffer, and where each begins
         strings = {**{i: t for t, i in vocab.items()}, **{i: t for t, i in self.special.items()}}
         top = max(strings) + 1
         parts = [strings.get(i, "").encode() for i in range(top)]
-        self.buffer = b"".join(parts)
-        self.offsets = [0]
-        for p in parts:
-            self.offsets.append(self.offsets[-1] + len(p))
+        self.buffer = np.frombuffer(b"".join(parts) + b" ", np.uint8)
+        self.offsets = np.cumsum([0, *map(len, parts)])
 
     def _inner(self, token: str) -> str:
         if self.suffix and token.endswith(self.suffix) and len(token) > len(self.suffix):
@@ -139,56 +140,74 @@ class Bpe:
                     return False
                 j += 1
 
-    def _prefix(self, token: int) -> int:
-        """The longest token that is a proper prefix of this one; -1: none."""
-        s = self.text[token]
-        return next((self.usable[s[:n]] for n in range(len(s) - 1, 0, -1) if s[:n] in self.usable), -1)
-
-    def encode_symbols(self, s: str) -> list[int]:
-        """Ids of one piece, given in the vocabulary's characters (and END where it has word ends)."""
-        whole = self.usable.get(s)
-        if whole is not None:
-            return [whole]
-        compatible = self.compatible
-        length, last, ids = 0, -1, []
-        for _, (n, i) in self.automaton.iter_long(s):
-            if last >= 0 and not compatible[last, i]:
-                return self._backtrack(s, ids, length, i)
-            length += n
-            last = i
-            ids.append(i)
-        return ids if length == len(s) else self._backtrack(s, [], 0, self._longest(s, 0))
-
-    def _longest(self, s: str, at: int) -> int:
-        """The longest token that begins at ``at``; -1: none."""
-        for end, (n, i) in self.automaton.iter_long(s, at):
-            return i if end - n + 1 == at else -1
-        return -1
-
-    def _backtrack(self, s: str, out: list[int], pos: int, token: int) -> list[int]:
-        """Go on from the compatible tokens ``out``, which end at ``pos``, trying ``token`` next."""
-        n, size, compatible, shorter = len(s), self.size, self.compatible, self._next_shorter
-        dead: set[int] = set()
-        while pos < n:
-            while token >= 0:
-                end = pos + size[token]
-                if end not in dead and (not out or compatible[out[-1], token]):
+    def _encoder(self):
+        """The function from a piece, in the vocabulary's characters (and END where it has word
+        ends), to its ids."""
+        usable, compatible, crossed = self.usable, self.compatible, self._crossed
+        iter_long = self.automaton.iter_long
+        top = max(self.ids.values()) + 1
+        size, shorter = [0] * top, [-1] * top
+        for s, i in self.ids.items():
+            size[i] = len(s)
+            # the longest token that is a proper prefix of this one
+            shorter[i] = next((usable[s[:n]] for n in range(len(s) - 1, 0, -1) if s[:n] in usable), -1)
+
+        def encode(s: str) -> list[int]:
+            whole = usable.get(s)
+            if whole is not None:
+                return [whole]
+            out: list[int] = []
+            pos, last, token = 0, -1, -1
+            for _, (n, token) in iter_long(s):
+                if last >= 0 and not compatible[last << 20 | token]:
                     break
-                token = shorter[token]
-            if token >= 0:
                 out.append(token)
-                pos = end
-                token = self._longest(s, pos) if pos < n else -1
+                pos += n
+                last = token
             else:
-                if not out:
-                    raise ValueError("a symbol is not in the vocabulary")
-                dead.add(pos)
-                token = out.pop()
-                pos -= size[token]
-        return out
-
-    def token_bytes(self, i: int) -> bytes:
-        return self.buffer[self.offsets[i] : self.offsets[i + 1]]
+                if pos == len(s):
+                    return out
+                out, pos, token = [], 0, -1
+                for end, (n, token) in iter_long(s):
+                    break
+            # ``out`` is compatible up to ``pos``; ``token`` is to be tried next
+            n, dead = len(s), None
+            while pos < n:
+                while token >= 0:
+                    end = pos + size[token]
+                    if (dead is None or end not in dead) and (not out or compatible[out[-1] << 20 | token]):
+                        break
+                    token = shorter[token]
+                if token >= 0:
+                    out.append(token)
+                    pos, token = end, -1
+                    if pos == n:
+                        break
+                    for end, (m, token) in iter_long(s, pos):
+                        if end - m + 1 != pos:
+                            token = -1
+                        break
+                else:
+                    if not out:
+                        raise ValueError("a symbol is not in the vocabulary")
+                    dead = dead or set()
+                    dead.add(pos)
+                    token = out.pop()
+                    pos -= size[token]
+            return out
+
+        return encode
+
+    def joined(self, ids: np.ndarray) -> bytes:
+        """The strings of the tokens with a space between any two, gathered through the offset table."""
+        if not len(ids):
+            return b""
+        begin = self.offsets[ids]
+        size = self.offsets[ids + np.uint32(1)] - begin + 1
+        end = np.cumsum(size)
+        out = self.buffer[np.arange(end[-1]) + np.repeat(begin - end + size, size)]
+        out[end - 1] = 32
+        return out[:-1].tobytes()
 
     def split_special(self, text: str) -> list[str]:
         """The text cut at special strings; these are the odd items."""
@@ -197,6 +216,17 @@ class Bpe:
         return re.split("(" + "|".join(map(re.escape, self.special)) + ")", text)
 
 
+def _gather(table: np.ndarray, begin: np.ndarray, size: np.ndarray, items: pa.Array, offsets: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of items, each standing for table[begin : begin + size], written out: the values of
+    all lists one after another, and where each list begins and the last ends."""
+    item = items.to_numpy()
+    n = size[item]
+    end = np.cumsum(n)
+    at = np.repeat((begin[item] - end + n).astype(np.int32), n)
+    at += np.arange(len(at), dtype=np.int32)
+    return table[at], np.concatenate([[0], end])[offsets.to_numpy()]
+
+
 class WordBpe(Bpe):
     """Lower case, white space dropped, every word ends in a marked token."""
 
@@ -204,40 +234,61 @@ class WordBpe(Bpe):
     _words = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|(?:(?![{SPACE}])[^\p{{L}}\p{{N}}])+")
     _spaces = re.compile(f"[{SPACE}]+")
     _odd = re.compile("[\x1c-\x1f]")
+    #: A mark right behind a letter: words always end there, so a space may go between.
+    _behind = re.compile(r"[!-/:-@\[-`{-~](?<=[^\W\d_].)")
+    _wide = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
     def __init__(self, path: str):
         super().__init__(path)
-        self.words = Recent(lambda w: struct.pack(f"<{len(x)}I", *x) if (x := self.encode_symbols(as_symbols(w) + END)) else b"")
+        self.packed = [struct.pack("<I", i) for i in range(max(self.ids.values()) + 1)]
         self.chunks = Recent(self._chunk)
-        self.decoded = Recent(self._decode)
 
     def _chunk(self, chunk: str) -> bytes:
-        found = (self._ascii if chunk.isascii() else self._words).findall(chunk)
-        return self.words[found[0]] if len(found) == 1 else b"".join(map(self.words.__getitem__, found))
-
-    def _decode(self, ids: bytes) -> bytes:
-        return b" ".join(map(self.token_bytes, struct.unpack(f"<{len(ids) // 4}I", ids)))
+        """Ids of a run without white space; its words are runs of their own."""
+        if not chunk.isalpha():
+            found = (self._ascii if chunk.isascii() else self._words).findall(chunk)
+            if len(found) > 1:
+                return b"".join(map(self.chunks.__getitem__, found))
+        return b"".join(map(self.packed.__getitem__, self.encode_symbols(as_symbols(chunk) + END)))
+
+    def _normal(self, text: str) -> str:
+        """Lower case, composed, and no white space outside ASCII."""
+        if text.isascii():
+            return text.lower()
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        return self._wide.sub(" ", text) if self._wide.search(text) else text
 
-    def pieces(self, text: str) -> list[bytes]:
-        """Ids as little-endian 32-bit integers, a piece for each run without white space."""
+    def encode(self, text: str) -> bytes:
+        """Ids as little-endian 32-bit integers."""
         out: list[bytes] = []
         for k, part in enumerate(self.split_special(text)):
             if k % 2:
                 out.append(struct.pack("<I", self.special[part]))
-                continue
-            if not part.isascii():
-                part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
-            part = part.lower()
-            chunks = [c for c in self._spaces.split(part) if c] if self._odd.search(part) else part.split()
-            out += map(self.chunks.__getitem__, chunks)
-        return out
-
-    def encode(self, text: str) -> bytes:
-        return b"".join(self.pieces(text))
-
-    def decode(self, ids: bytes) -> str:
-        """The tokens as they stand in the vocabulary, with a space between any two."""
-        return self._decode(ids).decode("utf-8")
+            else:
+                part = self._normal(part)
+                out += map(self.chunks.__getitem__, [c for c in self._spaces.split(part) if c] if self._odd.search(part) else part.split())
+        return b"".join(out)
+
+    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+        """Each text's ids. The runs of all texts are split and numbered at once, their distinct
+        ones are split into words and numbered again, so a word that repeats in the batch is
+        looked up once."""
+        apart = {k: np.frombuffer(self.encode(t), "<u4") for k, t in enumerate(texts) if "<|" in t}
+        plain = pa.array([self._normal(t) if k not in apart else "" for k, t in enumerate(texts)], pa.large_string())
+        runs = pc.ascii_split_whitespace(plain)
+        distinct = runs.values.dictionary_encode()
+        marked = self._behind.sub(r" \g<0>", "\n".join(distinct.dictionary.to_pylist())).split("\n")
+        words = pc.ascii_split_whitespace(pa.array(marked, pa.large_string()))
+        numbered = words.values.dictionary_encode()
+        found = [self.chunks[w] if w else b"" for w in numbered.dictionary.to_pylist()]
+        size = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+        ids, bounds = _gather(np.frombuffer(b"".join(found), "<u4"), np.cumsum(size) - size, size, numbered.indices, words.offsets)
+        ids, bounds = _gather(ids, bounds[:-1], np.diff(bounds), distinct.indices, runs.offsets)
+        return [apart[k] if k in apart else ids[bounds[k] : bounds[k + 1]] for k in range(len(texts))]
+
+    def decode(self, ids: bytes) -> bytes:
+        """The tokens as they stand in the vocabulary, with a space between any two, in UTF-8."""
+        return self.joined(np.frombuffer(ids, "<u4"))
 
 
 class ByteBpe(Bpe):
@@ -249,8 +300,8 @@ class ByteBpe(Bpe):
 
     def __init__(self, path: str):
         super().__init__(path)
-        self.words = Recent(lambda w: len(self.encode_symbols(as_symbols(w))))
         self.counts = Recent(self.count_piece)
+        #: the same for pieces that follow a space, without it
         self.spaced = Recent(lambda piece: self.count_piece(" " + piece))
 
     def encode(self, text: str) -> list[int]:
@@ -266,7 +317,14 @@ class ByteBpe(Bpe):
     def count_piece(self, piece: str) -> int:
         n = 0
         for k, part in enumerate(self.split_special(piece)):
-            n += 1 if k % 2 else sum(map(self.words.__getitem__, self._tokens.findall(part)))
+            if k % 2:
+                n += 1
+                continue
+            found = self._tokens.findall(part)
+            if len(found) == 1 and part == piece:
+                return len(self.encode_symbols(as_symbols(part)))
+            for w in found:
+                n += self.spaced[w[1:]] if w[0] == " " and len(w) > 1 else self.counts[w]
         return n
 
     def count(self, text: str) -> int:
@@ -276,6 +334,24 @@ class ByteBpe(Bpe):
         first, *rest = text.split(" ")
         return (self.counts[first] if first else 0) + sum(map(self.spaced.__getitem__, rest))
 
+    def count_batch(self, texts: list[str]) -> list[int]:
+        """``count`` of each; pieces that repeat in the batch are looked up once."""
+        apart = {k: self.count(t) for k, t in enumerate(texts) if "<|" in t or self._uneven.search(t)}
+        plain = pa.array([t if k not in apart else "" for k, t in enumerate(texts)], pa.large_string())
+        pieces = pc.split_pattern(plain, " ")
+        numbered = pieces.values.dictionary_encode()
+        table = np.fromiter(map(self.spaced.__getitem__, numbered.dictionary.to_pylist()), np.int64, len(numbered.dictionary))
+        upto = np.concatenate([[0], np.cumsum(table[numbered.indices.to_numpy()])])
+        bounds = pieces.offsets.to_numpy()
+        out = []
+        for k, t in enumerate(texts):
+            if k in apart:
+                out.append(apart[k])
+            else:  # the first piece has no space before it
+                first = t.partition(" ")[0]
+                out.append(int(upto[bounds[k + 1]] - upto[bounds[k] + 1]) + (self.counts[first] if first else 0))
+        return out
+
     def boundaries(self, text: str) -> tuple[list[int], list[int]]:
         """Where pieces end, and the tokens up to there."""
         ends, tokens, at, n = [], [], 0, 0

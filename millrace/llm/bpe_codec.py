@@ -8,8 +8,8 @@ other than doc_id and text are ignored.
 from __future__ import annotations
 
 import hashlib
-import struct
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,12 +29,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
 
     def setup():
         bpe = word_bpe(path)
-
-        def call(text: str) -> tuple:
-            ids = bpe.encode(text)
-            return list(struct.unpack(f"<{len(ids) // 4}I", ids)), bpe.decode(ids)
-
-        return call
+        return lambda texts: [(ids.tolist(), bpe.joined(ids).decode("utf-8")) for ids in bpe.encode_batch(texts)]
 
     return map_texts(_texts(docs), None, "ids array<int>, decoded string", setup=setup)
 
@@ -45,13 +40,10 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     def setup():
         bpe = word_bpe(path)
 
-        def call(text: str) -> tuple:
-            pieces = bpe.pieces(text)
-            ids = b"".join(pieces)
-            decoded = b" ".join(map(bpe.decoded.__getitem__, pieces))
-            return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()
+        def row(ids: np.ndarray) -> tuple:
+            return len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(bpe.joined(ids)).hexdigest()
 
-        return call
+        return lambda texts: list(map(row, bpe.encode_batch(texts)))
 
     return map_texts(_texts(docs), None, "n_tokens long, ids_sha256 string, decoded_sha256 string", setup=setup)
 

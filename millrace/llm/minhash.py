@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrow import map_texts
+from .arrow import each, map_texts
 from .bpe import Recent
 from .common import connected_components, documents, sized, written
 
@@ -95,7 +95,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                 low = np.minimum(low, ((s[at : at + 4096, None] ^ add) * mul).min(axis=0))
             return len(s), xxhash.xxh3_128_digest(s.tobytes()), low.view(np.int64).tolist()
 
-        return call
+        return each(call)
 
     return map_texts(_texts(docs), None, "n long, set_id binary, sig array<long>", setup=setup)
 
@@ -151,7 +151,7 @@ def linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
     def setup():
         shingles = Shingler(words)
-        return lambda text: (shingles(text).view(np.int64).tolist(),)
+        return each(lambda text: (shingles(text).view(np.int64).tolist(),))
 
     wanted = _texts(docs).withColumnRenamed("doc_id", "id").join(sized(active, 24), "id", "left_semi")
     sets = written(map_texts(wanted.select("id", "text"), None, "shingles array<long>", setup=setup).dropDuplicates(["id"]), "minhash-sets")

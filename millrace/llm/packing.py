@@ -15,10 +15,10 @@ Columns other than doc_id and text are ignored.
 from __future__ import annotations
 
 import heapq
-import struct
 import zlib
 from collections import defaultdict
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,14 +83,14 @@ def pieces(docs: DataFrame, path: str, capacity: int) -> DataFrame:
 
     def setup():
         bpe = word_bpe(path)
-        last = struct.pack("<I", END_ID)
+        last = np.array([END_ID], "<u4")
 
-        def call(text: str) -> list[tuple]:
-            ids = bpe.encode(text) + last
-            n = len(ids) // 4
-            return [(s, min(capacity, n - s), zlib.crc32(ids[4 * s : 4 * (s + capacity)]), n) for s in range(0, n, capacity)]
+        def cut(ids: np.ndarray) -> list[tuple]:
+            ids = np.concatenate([ids, last])
+            n = len(ids)
+            return [(s, min(capacity, n - s), zlib.crc32(ids[s : s + capacity]), n) for s in range(0, n, capacity)]
 
-        return call
+        return lambda texts: list(map(cut, bpe.encode_batch(texts)))
 
     return map_texts(texts, None, "start long, length long, ids_crc32 long, doc_tokens long", many=True, setup=setup)
 

@@ -23,7 +23,7 @@ import string
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrow import map_texts
+from .arrow import each, map_texts
 from .common import documents
 
 # The contract's expressions and limits.
@@ -140,11 +140,11 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 def pii_spans(docs: DataFrame) -> DataFrame:
     """``doc_id, kind, start, end, score``: a row per span."""
-    return map_texts(_texts(docs), spans, "kind string, start long, end long, score double", many=True)
+    return map_texts(_texts(docs), each(spans), "kind string, start long, end long, score double", many=True)
 
 
 def pii_report(docs: DataFrame) -> DataFrame:
-    return map_texts(_texts(docs), _row, "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return map_texts(_texts(docs), each(_row), "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def redact(docs: DataFrame) -> DataFrame:
@@ -152,7 +152,7 @@ def redact(docs: DataFrame) -> DataFrame:
     (a null text stays null). ``n_chars``, where it exists, follows the new text."""
     rest = [c for c in docs.columns if c != "text"]
     packed = docs.select(F.struct(*rest).alias("row"), F.col("text").isNull().alias("was_null"), F.col("text").cast("string").alias("text"))
-    out = map_texts(packed, lambda t: (redacted(t),), "clean string")
+    out = map_texts(packed, each(lambda t: (redacted(t),)), "clean string")
     text = F.when(F.col("was_null"), F.lit(None)).otherwise(F.col("clean"))
     columns = {c: F.col(f"row.`{c}`") for c in rest} | {"text": text}
     if "n_chars" in columns:

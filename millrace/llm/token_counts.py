@@ -78,7 +78,12 @@ def counted(docs: DataFrame, path: str, limit: int = LIMIT, chunk: int = CHUNK,
 
     def setup():
         bpe = byte_bpe(path)
-        return lambda t: (count_tokens(t, bpe, chunk, overlap),)
+
+        def call(texts: list[str]) -> list[tuple]:
+            short = iter(bpe.count_batch([t for t in texts if len(t) <= chunk]))
+            return [(next(short) if len(t) <= chunk else count_tokens(t, bpe, chunk, overlap),) for t in texts]
+
+        return call
 
     return map_texts(rows, None, "n_tokens long", setup=setup).withColumn("over_limit", F.col("n_tokens") > limit)
 
