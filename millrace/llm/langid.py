@@ -36,8 +36,8 @@ from .arrow import map_texts
 from .common import documents, written
 
 SAMPLE, BUCKETS, SMOOTH, FLOOR, SWITCH, BLOCK = 3000, 1 << 16, 0.02, -5.0, 12.0, 32
-#: Below this a text's language is not taken for sure; the pipeline rejects it.
-SURE = 0.5
+#: Texts with a lower score are rejected by ``sure_language``; `und` always is.
+SURE = 0.0
 WORD = re.compile(r"[^\W\d_]+")
 
 # First code points of script ranges (Unicode blocks); a code point belongs to
