@@ -12,11 +12,16 @@ T times share one among the first K - T + 1 of each, so only those are posted. P
 nobody else has fill most prefixes and need no posting, and a frequent passage comes last.
 
 *Skip*: what is asked is who is linked to whom, not all pairs. First every posting meets its
-list's smallest document. After these links' components are known, lists inside one component
+list's most central document, the one whose coordinates are most frequent, and in long lists
+some others. After these links' components are known, lists inside one component
 are skipped; in the others only documents outside the list's largest component meet those of
 other components. So a group of n near copies costs about n comparisons and not n squared,
 and no pair of different components goes untested.
 
+*Bound*: every document also has an odd sketch: each shingle flips one of ``ODD`` bits. Two
+sketches differ in at most as many bits as the sets differ in shingles, so pairs whose
+sketches differ in more than the threshold allows are not built; no link is lost by it.
+
 Collisions are counted on the full signatures; pairs of T and more are confirmed on the full
 shingle sets (64-bit hashes of the shingles).
 
@@ -40,6 +45,10 @@ from .common import connected_components, documents, sized, written
 #: Coordinates and the collisions that a pair needs, by threshold in percent.
 K = 24
 T = {85: 12, 80: 10}
+#: Postings of a list from which some more documents, by a hash, are met first beside its most central one.
+LONG_LIST, MORE_PIVOTS = 32, 5
+#: Bits of the odd sketch, a multiple of 64.
+ODD = 512
 _MASK = (1 << 64) - 1
 
 
@@ -80,7 +89,7 @@ class Shingler:
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """``doc_id, n, set_id, sig``: size and 128-bit digest of the set, K coordinates."""
+    """``doc_id, n, set_id, sig, odd``: size and 128-bit digest of the set, K coordinates, odd sketch."""
 
     def setup():
         shingles = Shingler(words)
@@ -89,15 +98,16 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
         def call(text: str) -> tuple:
             s = shingles(text)
             if not len(s):
-                return 0, None, None
+                return 0, None, None, None
             low = np.full(K, _MASK, np.uint64)
             for at in range(0, len(s), 4096):
                 low = np.minimum(low, ((s[at : at + 4096, None] ^ add) * mul).min(axis=0))
-            return len(s), xxhash.xxh3_128_digest(s.tobytes()), low.view(np.int64).tolist()
+            odd = np.packbits(np.bincount((s & np.uint64(ODD - 1)).view(np.int64), minlength=ODD).astype(np.uint8) & 1)
+            return len(s), xxhash.xxh3_128_digest(s.tobytes()), low.view(np.int64).tolist(), odd.view(np.int64).tolist()
 
         return each(call)
 
-    return map_texts(_texts(docs), None, "n long, set_id binary, sig array<long>", setup=setup)
+    return map_texts(_texts(docs), None, "n long, set_id binary, sig array<long>, odd array<long>", setup=setup)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -108,28 +118,32 @@ def _collisions(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
 
 
-def _close(a: Column, b: Column, percent: int) -> Column:
-    """Whether sets of these sizes can reach the threshold."""
-    return F.lit(100) * F.least(a, b) >= F.lit(percent) * F.greatest(a, b)
+def _close(na: str, nb: str, oa: str, ob: str, percent: int) -> Column:
+    """Whether sets of these sizes and odd sketches can reach the threshold."""
+    na, nb = F.col(na), F.col(nb)
+    apart = sum((F.bit_count(F.col(oa)[i].bitwiseXOR(F.col(ob)[i])) for i in range(ODD // 64)), F.lit(0))
+    return (F.lit(100) * F.least(na, nb) >= F.lit(percent) * F.greatest(na, nb)) & (F.lit(100 + percent) * apart <= F.lit(100 - percent) * (na + nb))
 
 
 def postings(reps: DataFrame, t: int) -> DataFrame:
-    """``key, id, n``: the prefix of each representative's coordinate-value pairs by rising
-    frequency, without those nobody shares. ``key`` is a hash of coordinate and value: two
-    pairs with one key would only add candidates."""
-    tokens = reps.select("id", "n", F.posexplode("sig").alias("c", "v")).select("id", "n", F.xxhash64("c", "v").alias("key"))
+    """``key, id, n, odd, weight``: the prefix of each representative's coordinate-value pairs by
+    rising frequency, without those nobody shares. ``key`` is a hash of coordinate and value:
+    two pairs with one key would only add candidates. ``weight`` sums the logarithms of the
+    frequencies of its pairs: in a group of copies the least changed one has the most."""
+    tokens = reps.select("id", F.posexplode("sig").alias("c", "v")).select("id", F.xxhash64("c", "v").alias("key"))
     shared = tokens.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     known = tokens.join(shared, "key")
-    ordered = known.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("keys"))
+    ordered = known.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("keys"), F.sum(F.log("df")).alias("weight"))
     room = F.lit(K - t + 1) - (F.lit(K) - F.size("keys"))
-    return ordered.where(room > 0).select("id", "n", F.explode(F.slice("keys", 1, room)).alias("k")).select("k.key", "id", "n")
+    listed = ordered.where(room > 0).join(reps.select("id", "n", "odd"), "id")
+    return listed.select("id", "n", "odd", "weight", F.explode(F.slice("keys", 1, room)).alias("k")).select("k.key", "id", "n", "odd", "weight")
 
 
 def confirmed(pairs: DataFrame, reps: DataFrame, sets: DataFrame, t: int, percent: int) -> DataFrame:
     """The pairs ``a, b`` that collide t times and whose full sets reach the threshold."""
     sig_a = reps.select(F.col("id").alias("a"), F.col("sig").alias("sa"), F.col("n").alias("na"))
     sig_b = reps.select(F.col("id").alias("b"), F.col("sig").alias("sb"), F.col("n").alias("nb"))
-    near = pairs.join(sig_a, "a").join(sig_b, "b").where(_collisions("sa", "sb") >= t).where(_close(F.col("na"), F.col("nb"), percent))
+    near = pairs.join(sig_a, "a").join(sig_b, "b").where(_collisions("sa", "sb") >= t)
     near = written(near.select("a", "b", "na", "nb"), "minhash-near")
     set_a = sets.select(F.col("id").alias("a"), F.col("shingles").alias("xa"))
     set_b = sets.select(F.col("id").alias("b"), F.col("shingles").alias("xb"))
@@ -142,9 +156,9 @@ def linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
     t = T[percent]
     sig = written(signatures(docs, words), "minhash-signatures")
     own = sig.where("n > 0 and doc_id is not null")
-    reps = own.groupBy("set_id").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    reps = own.groupBy("set_id").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("odd").alias("odd"))
     reps = written(reps, "minhash-representatives")
-    posted = written(postings(reps.select("id", "n", "sig"), t), "minhash-postings")
+    posted = written(postings(reps.select("id", "n", "sig", "odd"), t), "minhash-postings")
     active = written(posted.select("id").distinct(), "minhash-active")
     few = reps.join(sized(active, 24), "id", "left_semi").select("id", "n", "sig")
     few = written(few, "minhash-candidates")
@@ -156,22 +170,26 @@ def linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
     wanted = _texts(docs).withColumnRenamed("doc_id", "id").join(sized(active, 24), "id", "left_semi")
     sets = written(map_texts(wanted.select("id", "text"), None, "shingles array<long>", setup=setup).dropDuplicates(["id"]), "minhash-sets")
 
-    first = posted.groupBy("key").agg(F.min(F.struct("id", "n")).alias("p"))
-    pivot = first.select(F.col("key").alias("_k"), F.col("p.id").alias("a"), F.col("p.n").alias("pn"))
-    stars = posted.join(pivot, (F.col("key") == F.col("_k")) & (F.col("id") != F.col("a")) & _close(F.col("n"), F.col("pn"), percent))
-    links = written(confirmed(stars.select("a", F.col("id").alias("b")).distinct(), few, sets, t, percent), "minhash-links")
+    central = F.max(F.struct("weight", "id", "n", "odd"))
+    others = [F.min(F.struct(F.xxhash64("id", F.lit(r)).alias("h"), "id", "n", "odd")) for r in range(MORE_PIVOTS)]
+    lists = posted.groupBy("key").agg(F.count(F.lit(1)).alias("c"), *[x.alias(f"p{i}") for i, x in enumerate([central, *others])])
+    chosen = F.array(*[F.struct(f"p{i}.id", f"p{i}.n", f"p{i}.odd") for i in range(MORE_PIVOTS + 1)])
+    pivot = lists.where("c > 1").select(F.col("key").alias("_k"), F.explode(F.when(F.col("c") < LONG_LIST, F.slice(chosen, 1, 1)).otherwise(F.array_distinct(chosen))).alias("p"))
+    pivot = pivot.select("_k", F.col("p.id").alias("a"), F.col("p.n").alias("pn"), F.col("p.odd").alias("po"))
+    stars = posted.join(pivot, (F.col("key") == F.col("_k")) & (F.col("id") != F.col("a")) & _close("n", "pn", "odd", "po", percent))
+    stars = stars.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
+    links = written(confirmed(stars.distinct(), few, sets, t, percent), "minhash-links")
     label = written(connected_components(links), "minhash-label")
 
     known = posted.join(label.select(F.col("id").alias("_i"), "component"), F.col("id") == F.col("_i"), "left")
-    known = written(known.select("key", "id", "n", F.coalesce("component", "id").alias("comp")), "minhash-known")
+    known = written(known.select("key", "id", "n", "odd", F.coalesce("component", "id").alias("comp")), "minhash-known")
     parts = known.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
     largest = parts.groupBy("key").agg(F.max_by("comp", F.struct("m", "comp")).alias("big"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
     mixed = written(known.join(largest.select(F.col("key").alias("_k"), "big"), F.col("key") == F.col("_k")).drop("_k"), "minhash-mixed")
-    small = mixed.where("comp <> big").select(F.col("key").alias("_k"), F.col("id").alias("_id"), F.col("n").alias("_n"), F.col("comp").alias("_comp"))
-    apart = (F.col("key") == F.col("_k")) & (F.col("comp") != F.col("_comp")) & ((F.col("comp") == F.col("big")) | (F.col("_id") < F.col("id"))) & _close(F.col("n"), F.col("_n"), percent)
+    small = mixed.where("comp <> big").select(F.col("key").alias("_k"), F.col("id").alias("_id"), F.col("n").alias("_n"), F.col("odd").alias("_odd"), F.col("comp").alias("_comp"))
+    apart = (F.col("key") == F.col("_k")) & (F.col("comp") != F.col("_comp")) & ((F.col("comp") == F.col("big")) | (F.col("_id") < F.col("id")))
+    apart &= _close("n", "_n", "odd", "_odd", percent)
     rest = mixed.join(small, apart).select(F.least("id", "_id").alias("a"), F.greatest("id", "_id").alias("b")).distinct()
-    tested = stars.select("a", F.col("id").alias("b")).distinct()
-    rest = rest.join(tested, ["a", "b"], "left_anti")
     more = written(confirmed(rest, few, sets, t, percent), "minhash-more")
     if not more.isEmpty():
         # links between the components found so far
