@@ -73,11 +73,11 @@ def publishable(rows: DataFrame) -> DataFrame:
 
 def mistyped_numbers(text: Column) -> Column:
     """Names of number fields that some candidate of a raw payload has as text."""
-    payload = F.try_parse_json(text)
-    out = []
-    for name in NUMBERS:
-        # a JSON string shows as such in the raw value only, so types are read from the variant
-        values = F.try_variant_get(payload, "$.brief.candidates", "array<variant>")
-        wrong = F.exists(F.coalesce(values, F.array().cast("array<variant>")), lambda v, n=name: F.coalesce(F.schema_of_variant(F.try_variant_get(v, f"$.{n}", "variant")) == "STRING", F.lit(False)))
-        out.append(F.when(wrong, F.lit(name)))
-    return F.array_compact(F.array(*out))
+    # a JSON string shows as such in the raw value only, so types are read from the variant
+    candidates = F.try_variant_get(F.try_parse_json(text), "$.brief.candidates", "array<variant>")
+    candidates = F.coalesce(candidates, F.array().cast("array<variant>"))
+
+    def is_text(name: str):
+        return lambda c: F.coalesce(F.schema_of_variant(F.try_variant_get(c, f"$.{name}", "variant")) == "STRING", F.lit(False))
+
+    return F.array_compact(F.array(*[F.when(F.exists(candidates, is_text(name)), F.lit(name)) for name in NUMBERS]))

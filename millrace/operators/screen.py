@@ -21,8 +21,10 @@ VERDICTS = (("real bargain", "bargain", "real bargain"), ("wait and see", "wait"
 
 
 def screen(rows: DataFrame, s: Settings, by: str | None = None) -> DataFrame:
-    """The first ``candidate_count`` rows, in published order, that pass every filter."""
+    """The first ``candidate_count`` rows (all if it is None), in published order, that pass every filter."""
     kept = rows.where(keeps(s))
+    if s.candidate_count is None:
+        return kept
     if by is None:
         return kept.orderBy("pos").limit(s.candidate_count)
     # a rank limit that Spark applies before the shuffle
@@ -34,7 +36,8 @@ def screen_array(candidates: Column, s: Settings) -> Column:
     """The same inside one row: an array of candidates, without exploding or shuffling."""
     fields = {column: field for field, column in COLUMNS.items()}
     known = F.filter(F.coalesce(candidates, F.array().cast(T.ArrayType(CANDIDATE))), lambda c: c.isNotNull())
-    return F.slice(F.filter(known, lambda c: keeps(s, lambda name: c[fields[name]])), 1, s.candidate_count)
+    kept = F.filter(known, lambda c: keeps(s, lambda name: c[fields[name]]))
+    return kept if s.candidate_count is None else F.slice(kept, 1, s.candidate_count)
 
 
 def filter_stats(rows: DataFrame, s: Settings, by: str | None = None) -> DataFrame:
@@ -42,7 +45,7 @@ def filter_stats(rows: DataFrame, s: Settings, by: str | None = None) -> DataFra
     grouped = rows.groupBy(by) if by else rows.groupBy()
     return grouped.agg(
         F.count(F.lit(1)).alias("total"),
-        F.least(F.count_if(keeps(s)), F.lit(s.candidate_count)).cast("long").alias("shown"),
+        F.least(F.count_if(keeps(s)), F.lit(s.candidate_count).cast("long")).alias("shown"),
         F.count_if(F.col("fwd_pe").isNull()).alias("missing_fwd_pe"),
         F.count_if(F.col("market_cap_usd").isNull()).alias("missing_market_cap_usd"),
         F.count_if(~present(F.col("sector"))).alias("missing_sector"),

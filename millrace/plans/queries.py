@@ -20,7 +20,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 TIGHT = st.Settings(drop_threshold=15, min_market_cap="B1", max_pe=12, dividend_payers_only=True, candidate_count=5)
 SECTOR = st.Settings(excluded_sectors=("econ", "promotional"), candidate_count=5)
-ALL = st.Settings(drop_threshold=10, min_market_cap="B5", max_pe=20, excluded_sectors=("Banks", "large"), candidate_count=1_000_000_000)
+ALL = st.Settings(drop_threshold=10, min_market_cap="B5", max_pe=20, excluded_sectors=("Banks", "large"), candidate_count=None)
 AS_OF_MS = 1_704_500_000_000
 
 

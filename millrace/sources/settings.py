@@ -28,7 +28,7 @@ class Settings:
     max_pe: float | None = None
     dividend_payers_only: bool = False
     excluded_sectors: tuple[str, ...] = ()
-    candidate_count: int = 3
+    candidate_count: int | None = 3
     watchlist: tuple[str, ...] = ()
     notify_on_new_brief: bool = True
     notify_on_watchlist_drop: bool = True
