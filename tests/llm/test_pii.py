@@ -1,0 +1,88 @@
+import hashlib
+import re
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from millrace.llm import pii
+
+from .data import TEXTS, empty_documents, odd_documents
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def digits(s):
+    return re.sub("[^0-9]", "", s)
+
+
+def luhn(s):
+    d = [int(c) for c in reversed(s)]
+    return (sum(d[::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2])) % 10 == 0
+
+
+def base(text):
+    out = [("email", m) for m in EMAIL.finditer(text)]
+    out += [("ip", m) for m in IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+    out += [("card", m) for m in CARD.finditer(text) if 13 <= len(digits(m[0])) <= 19 and luhn(digits(m[0]))]
+    out += [("phone", m) for m in PHONE.finditer(text) if 9 <= len(digits(m[0])) <= 15]
+    return [(k, m.start(), m.end()) for k, m in out]
+
+
+PIECE = st.sampled_from(["4111 1111 1111 1111", "4111-1111-1111-1111", "4111111111111112", "10.0.0.1", "1.2.3.4.5.6.7.8", "256.1.1.1", "+1 (555) 010-9999", "+12", "a@b.c", "x@y", "a.b%c+d@e-f.gh.ij", "@", ".", " ", "-", "(", "+", "1", "22", "GB82 WEST 1234 5698 7654 32", "é", "😀", "a", "_"])
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(PIECE, max_size=12).map("".join))
+def test_base_spans_equal_plain_expressions(text):
+    found = [s[:3] for s in pii.spans(text)]
+    assert found[: len(base(text))] == base(text)
+    assert all(k in ("iban", "ssn") for k, _, _ in found[len(base(text)) :])
+
+
+def kinds(text):
+    return [(k, text[b:e]) for k, b, e, _ in pii.spans(text)]
+
+
+def test_checksums_and_context():
+    assert kinds("IBAN GB82 WEST 1234 5698 7654 32.") == [("iban", "GB82 WEST 1234 5698 7654 32")]
+    assert kinds("IBAN GB82 WEST 1234 5698 7654 33.") == []
+    assert kinds("DE89370400440532013000 ok") == [("iban", "DE89370400440532013000")]
+    assert kinds("ref 123-45-6789") == [] and kinds("my SSN: 123-45-6789") == [("ssn", "123-45-6789")]
+    assert kinds("ssn 000-45-6789") == []
+    near = {s[0]: s[3] for s in pii.spans("call +1 555 010 9999")}
+    far = {s[0]: s[3] for s in pii.spans("xxxx +1 555 010 9999")}
+    assert near["phone"] > far["phone"]
+
+
+def test_redaction():
+    assert pii.redacted("to a@b.co, card 4111 1111 1111 1111!") == "to [EMAIL], card [CARD]!"
+    assert pii.redacted("nothing 12 here") == "nothing 12 here"
+
+
+def test_long_runs_are_linear():
+    for text in ("1" * 300_000, "1." * 100_000, "a" * 300_000 + "@", "+1" * 100_000, "a@" * 100_000):
+        pii.spans(text)
+
+
+def test_odd_rows(spark):
+    rows = pii.pii_report(odd_documents(spark)).collect()
+    want = []
+    for d, t in TEXTS:
+        spans = base(t or "")
+        n = [sum(s[0] == k for s in spans) for k in pii.BASE]
+        want.append((str(d), *n, hashlib.sha256(",".join(f"{k}:{b}:{e}" for k, b, e in spans).encode()).hexdigest()))
+    assert sorted((str(r["doc_id"]), *[r[f"n_{k}"] for k in pii.BASE], r["base_sha256"]) for r in rows) == sorted(want)
+    docs = odd_documents(spark)
+    clean = pii.redact(docs)
+    assert clean.columns == docs.columns
+    by = {r["id"]: r for r in clean.collect()}
+    for i, (_, t) in enumerate(TEXTS):
+        assert by[i]["text"] == (None if t is None else pii.redacted(t)) and by[i]["clean"] == "c"
+    assert pii.pii_spans(docs).where("doc_id = 13").count() == 4
+
+
+def test_empty_table(spark):
+    assert pii.pii_report(empty_documents(spark)).count() == 0 and pii.redact(empty_documents(spark)).count() == 0
