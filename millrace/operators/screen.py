@@ -6,6 +6,7 @@ with ``by``, many, each cut and counted on its own.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -76,7 +77,8 @@ def live_effect(stats: DataFrame, s: Settings) -> DataFrame:
 def verdict_tallies(shown: DataFrame) -> DataFrame:
     """``rank, verdict, class, label, n``: known verdicts that occur, in their fixed order."""
     spark = shown.sparkSession
-    kinds = spark.createDataFrame([(i, *v) for i, v in enumerate(VERDICTS)], "rank int, verdict string, class string, label string")
+    verdicts, classes, labels = (list(c) for c in zip(*VERDICTS))
+    kinds = spark.createDataFrame(pa.table({"rank": pa.array(range(len(VERDICTS)), pa.int32()), "verdict": verdicts, "class": classes, "label": labels}))
     counts = shown.groupBy(F.lower(F.coalesce("verdict", F.lit(""))).alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
     return kinds.join(counts, "verdict").select("rank", "verdict", "class", "label", "n")
 

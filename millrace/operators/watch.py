@@ -7,6 +7,7 @@ screen is semi-joined before anything is shuffled by ticker.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,8 +19,9 @@ def upper_ticker(ticker: Column) -> Column:
 
 
 def user_list(spark: SparkSession, tickers: tuple[str, ...]) -> DataFrame:
-    """``pos, ticker`` of a list in settings."""
-    return spark.createDataFrame(list(enumerate(tickers)), "pos long, ticker string")
+    """``pos, ticker`` of a list in settings. From Arrow it is a local relation whose size Spark
+    knows, so joins with it are broadcast while it is small and the screen is not shuffled."""
+    return spark.createDataFrame(pa.table({"pos": pa.array(range(len(tickers)), pa.int64()), "ticker": pa.array(list(tickers), pa.string())}))
 
 
 def first_wins(rows: DataFrame, key: Column) -> DataFrame:
