@@ -32,7 +32,9 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.packed(docs, vocabulary(packing.VOCABULARY))
+    # smaller caches and batches than the operator's own: what earlier stages left in an
+    # executor stands beside them
+    return packing.packed(docs, vocabulary(packing.VOCABULARY), cache=60_000, most=1 << 20)
 
 
 STAGES = [

@@ -64,11 +64,14 @@ class Recent(dict):
         if value is None:
             value = self.make(key)
         if len(self) >= self.limit:
-            self.old = dict(self)
-            self.clear()
+            self.age()
         self[key] = value
         return value
 
+    def age(self) -> None:
+        self.old = dict(self)
+        self.clear()
+
 
 class Bpe:
     """Vocabulary, merges, pair compatibility, encoder and decoder."""
@@ -80,27 +83,26 @@ class Bpe:
         self.suffix: str = model.get("end_of_word_suffix") or ""
         vocab: dict[str, int] = model["vocab"]
         self.special: dict[str, int] = {t["content"]: t["id"] for t in spec["added_tokens"] if t["special"]}
-        names = dict.fromkeys(vocab)
-        self.ids: dict[str, int] = {self._inner(t): vocab[t] for t in names}
+        self.ids: dict[str, int] = {self._inner(t): i for t, i in vocab.items()}
         self.text: dict[int, str] = {i: t for t, i in self.ids.items()}
-        self.merge: dict[tuple[int, int], int] = {}
-        made: dict[int, tuple[int, int, int]] = {}
+        #: ranks, keyed like ``compatible``; and for each token the nodes at its right and left edge
+        #: from the byte up, each followed by the rank of the merge that takes it in
+        self.merge: dict[int, int] = {}
         self.right: dict[int, tuple] = {}
         self.left: dict[int, tuple] = {}
         for s, i in self.ids.items():
             if len(s) == 1 or (len(s) == 2 and s[1] == END):
-                self.right[i] = self.left[i] = ((i, INF),)
+                self.right[i] = self.left[i] = (i, INF)
         pairs = []
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             x, y = vocab[a], vocab[b]
-            self.merge[x, y] = rank
+            self.merge[x << 20 | y] = rank
             pairs.append((x, y, vocab[a + b], rank))
         for x, y, z, rank in pairs:
-            if z not in made and x in self.right and y in self.left and not self._crossed(x, y, rank):
-                made[z] = (x, y, rank)
-                self.right[z] = (*self.right[y][:-1], (y, rank), (z, INF))
-                self.left[z] = (*self.left[x][:-1], (x, rank), (z, INF))
+            if z not in self.right and x in self.right and y in self.left and not self._crossed(x, y, rank):
+                self.right[z] = (*self.right[y][:-1], rank, z, INF)
+                self.left[z] = (*self.left[x][:-1], rank, z, INF)
         self.automaton = ahocorasick.Automaton()
         self.usable: dict[str, int] = {s: i for s, i in self.ids.items() if i in self.right}
         for s, i in self.usable.items():
@@ -127,23 +129,23 @@ class Bpe:
         comes first."""
         right, left, i, j = self.right[a], self.left[b], 0, 0
         while True:
-            (x, px), (y, py) = right[i], left[j]
-            rank = self.merge.get((x, y))
+            px, py = right[i + 1], left[j + 1]
+            rank = self.merge.get(right[i] << 20 | left[j])
             if rank is not None and rank < before and rank < px and rank <= py:
                 return True
             if px <= py:
                 if px >= before:
                     return False
-                i += 1
+                i += 2
             else:
                 if py >= before:
                     return False
-                j += 1
+                j += 2
 
     def _encoder(self):
         """The function from a piece, in the vocabulary's characters (and END where it has word
         ends), to its ids."""
-        usable, compatible, crossed = self.usable, self.compatible, self._crossed
+        usable, compatible = self.usable, self.compatible
         iter_long = self.automaton.iter_long
         top = max(self.ids.values()) + 1
         size, shorter = [0] * top, [-1] * top
@@ -152,6 +154,8 @@ class Bpe:
             # the longest token that is a proper prefix of this one
             shorter[i] = next((usable[s[:n]] for n in range(len(s) - 1, 0, -1) if s[:n] in usable), -1)
 
+        known, ends = compatible.get, {}  # ends: the longest token that begins a short rest of a piece
+
         def encode(s: str) -> list[int]:
             whole = usable.get(s)
             if whole is not None:
@@ -159,34 +163,49 @@ class Bpe:
             out: list[int] = []
             pos, last, token = 0, -1, -1
             for _, (n, token) in iter_long(s):
-                if last >= 0 and not compatible[last << 20 | token]:
-                    break
+                if last >= 0:
+                    fits = known(last << 20 | token)
+                    if fits is None:
+                        fits = compatible[last << 20 | token]
+                    if not fits:
+                        break
                 out.append(token)
                 pos += n
                 last = token
             else:
                 if pos == len(s):
                     return out
-                out, pos, token = [], 0, -1
-                for end, (n, token) in iter_long(s):
+                out, pos, last, token = [], 0, -1, -1
+                for _, (n, token) in iter_long(s):
                     break
             # ``out`` is compatible up to ``pos``; ``token`` is to be tried next
-            n, dead = len(s), None
-            while pos < n:
+            n, dead = len(s), ()
+            while True:
                 while token >= 0:
                     end = pos + size[token]
-                    if (dead is None or end not in dead) and (not out or compatible[out[-1] << 20 | token]):
-                        break
+                    if end not in dead:
+                        if last < 0:
+                            break
+                        fits = known(last << 20 | token)
+                        if fits is None:
+                            fits = compatible[last << 20 | token]
+                        if fits:
+                            break
                     token = shorter[token]
                 if token >= 0:
                     out.append(token)
-                    pos, token = end, -1
+                    pos, last = end, token
                     if pos == n:
-                        break
-                    for end, (m, token) in iter_long(s, pos):
-                        if end - m + 1 != pos:
-                            token = -1
-                        break
+                        return out
+                    if n - pos > 8:
+                        token = longest(s, pos)
+                    else:
+                        rest = s[pos:]
+                        token = ends.get(rest)
+                        if token is None:
+                            if len(ends) > 100_000:
+                                ends.clear()
+                            ends[rest] = token = longest(rest, 0)
                 else:
                     if not out:
                         raise ValueError("a symbol is not in the vocabulary")
@@ -194,7 +213,13 @@ class Bpe:
                     dead.add(pos)
                     token = out.pop()
                     pos -= size[token]
-            return out
+                    last = out[-1] if out else -1
+
+        def longest(s: str, at: int) -> int:
+            """The longest token that begins there; -1: none."""
+            for end, (n, token) in iter_long(s, at):
+                return token if end - n + 1 == at else -1
+            return -1
 
         return encode
 
@@ -251,6 +276,26 @@ class WordBpe(Bpe):
                 return b"".join(map(self.chunks.__getitem__, found))
         return b"".join(map(self.packed.__getitem__, self.encode_symbols(as_symbols(chunk) + END)))
 
+    def _words_of(self, words: list[str]) -> list[bytes]:
+        """``chunks`` of many distinct words; those that are not there are encoded in one loop."""
+        chunks, encode, pack = self.chunks, self.encode_symbols, self.packed.__getitem__
+        get, old = chunks.get, chunks.old.get
+        out = []
+        for w in words:
+            ids = get(w)
+            if ids is None:
+                ids = old(w)
+                if ids is None:
+                    if w.isascii() and w.isalpha():
+                        ids = b"".join(map(pack, encode(w + END)))
+                    else:
+                        ids = self._chunk(w) if w else b""
+                chunks[w] = ids
+            out.append(ids)
+        if len(chunks) >= chunks.limit:
+            chunks.age()
+        return out
+
     def _normal(self, text: str) -> str:
         """Lower case, composed, and no white space outside ASCII."""
         if text.isascii():
@@ -280,7 +325,7 @@ class WordBpe(Bpe):
         marked = self._behind.sub(r" \g<0>", "\n".join(distinct.dictionary.to_pylist())).split("\n")
         words = pc.ascii_split_whitespace(pa.array(marked, pa.large_string()))
         numbered = words.values.dictionary_encode()
-        found = [self.chunks[w] if w else b"" for w in numbered.dictionary.to_pylist()]
+        found = self._words_of(numbered.dictionary.to_pylist())
         size = np.fromiter(map(len, found), np.int64, len(found)) >> 2
         ids, bounds = _gather(np.frombuffer(b"".join(found), "<u4"), np.cumsum(size) - size, size, numbered.indices, words.offsets)
         ids, bounds = _gather(ids, bounds[:-1], np.diff(bounds), distinct.indices, runs.offsets)
@@ -364,8 +409,12 @@ class ByteBpe(Bpe):
 
 
 @lru_cache(maxsize=4)
-def word_bpe(path: str) -> WordBpe:
-    return WordBpe(path)
+def word_bpe(path: str, cache: int = CACHE) -> WordBpe:
+    """The encoder of this process; ``cache`` bounds the words it keeps."""
+    bpe = WordBpe(path)
+    bpe.chunks.limit = cache
+    bpe.compatible.limit = min(cache, bpe.compatible.limit)
+    return bpe
 
 
 @lru_cache(maxsize=4)

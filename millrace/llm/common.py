@@ -17,6 +17,8 @@ from pyspark.sql.window import Window
 
 #: A side of a join is broadcast only when it was counted and is at most so large.
 BROADCAST_BYTES = 32 << 20
+#: Small shuffles end in few partitions, and so few files, if parallelism doesn't come first.
+BY_SIZE = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -47,7 +49,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: cuts the lineage, survives lost executors."""
     spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    before = spark.conf.get(BY_SIZE, None)
+    spark.conf.set(BY_SIZE, "false")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(BY_SIZE) if before is None else spark.conf.set(BY_SIZE, before)
     return spark.read.schema(_nullable(df.schema)).parquet(path)
 
 

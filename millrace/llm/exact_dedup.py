@@ -28,9 +28,11 @@ STATE_CONF = {
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     # all stores of an executor share so much memory
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
-    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "8",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "48",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4",
 }
+#: On a local or mounted file system the default manager runs a shell command for each file.
+FILE_CONF = {"spark.sql.streaming.checkpointFileManagerClass": "org.apache.spark.sql.execution.streaming.checkpointing.FileSystemBasedCheckpointFileManager"}
 
 
 def sha256(text: Column) -> Column:
@@ -70,8 +72,9 @@ class DedupState:
         def changed(batch: DataFrame, number: int) -> None:
             batch.withColumn("version", F.lit(number)).write.mode("overwrite").parquet(f"{self.folder}/changes/batch={number}")
 
-        before = {k: spark.conf.get(k, None) for k in STATE_CONF}
-        for k, v in STATE_CONF.items():
+        conf = STATE_CONF | (FILE_CONF if self.folder.startswith(("/", "file:")) else {})
+        before = {k: spark.conf.get(k, None) for k in conf}
+        for k, v in conf.items():
             spark.conf.set(k, v)
         try:
             query = state.writeStream.outputMode("update").foreachBatch(changed).option("checkpointLocation", f"{self.folder}/checkpoint").trigger(availableNow=True).start()
@@ -99,7 +102,8 @@ def dedup_report(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -
     spark = docs.sparkSession
     state = DedupState(spark, scratch_path(spark, "dedup"))
     state.add(fingerprints(docs, digest))
-    prints, table = state.fingerprints(), state.table()
+    # the state as a table of its own, so that AQE can split a hot digest in the joins with it
+    prints, table = state.fingerprints(), written(state.table(), "dedup-state")
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("body")).withColumn("digest", digest(F.col("body")).cast("string"))
     hits = written(table.where("group_size > 1").select("digest", F.col("keep.doc_id").alias("keep_id")), "dedup-hits")

@@ -36,6 +36,8 @@ from .arrow import map_texts
 from .common import documents, written
 
 SAMPLE, BUCKETS, SMOOTH, FLOOR, SWITCH, BLOCK = 3000, 1 << 16, 0.02, -5.0, 12.0, 32
+#: Bytes of text labelled at once.
+AT_ONCE = 1 << 20
 #: Texts with a lower score are rejected by ``sure_language``; `und` always is.
 SURE = 0.0
 WORD = re.compile(r"[^\W\d_]+")
@@ -141,7 +143,7 @@ def label(texts: list[str], model: Model, switch: float = SWITCH) -> list[tuple[
     """Each text's language, its score, and spans ``first word, words, language``."""
     out: list = [("und", 0.0, [])] * len(texts)
     words = [WORD.findall(t.lower()) for t in texts]
-    some = [k for k, w in enumerate(words) if w and model.languages]
+    some = [k for k, w in enumerate(words) if model.languages and any(map(str.isalpha, w))]  # not only ½ and the like
     if not some:
         return out
     numbered = pa.array([w for k in some for w in words[k]], pa.large_string()).dictionary_encode()
@@ -218,7 +220,7 @@ def identified(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     schema = "lang_pred string, score double" + ", spans array<struct<first:int,words:int,lang:string>>" * spans
-    return map_texts(texts, lambda t: [r if spans else r[:2] for r in label(t, shared.value)], schema)
+    return map_texts(texts, lambda t: [r if spans else r[:2] for r in label(t, shared.value)], schema, most=AT_ONCE)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,6 +233,8 @@ def sure_language(docs: DataFrame, sure: float = SURE) -> DataFrame:
     """The rows of ``docs``, with all columns, whose language is found with a score of at least ``sure``."""
     model = train(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text"))
-    scored = map_texts(packed, lambda t: [r[:2] for r in label(t, shared.value)], "lang_pred string, score double")
-    return scored.where((F.col("lang_pred") != "und") & (F.col("score") >= sure)).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    rest = [c for c in docs.columns if c != "text"]
+    packed = docs.select(F.struct(*rest).alias("row"), F.col("text").cast("string").alias("text"))
+    scored = map_texts(packed, lambda t: [r[:2] for r in label(t, shared.value)], "lang_pred string, score double", keep=True, most=AT_ONCE)
+    columns = {c: F.col(f"row.`{c}`") for c in rest} | {"text": F.col("text")}
+    return scored.where((F.col("lang_pred") != "und") & (F.col("score") >= sure)).select(*[columns[c].alias(c) for c in docs.columns])

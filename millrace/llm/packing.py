@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrow import map_texts
-from .bpe import vocabulary, word_bpe
+from .arrow import BATCH_BYTES, map_texts
+from .bpe import CACHE, vocabulary, word_bpe
 from .common import documents, gapless_rank, written
 
 VOCABULARY, CAPACITY, END_ID = "word_bpe_49k.json", 2048, 1
@@ -77,12 +77,13 @@ def slots(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, i
     return out
 
 
-def pieces(docs: DataFrame, path: str, capacity: int) -> DataFrame:
-    """``doc_id, start, length, ids_crc32, doc_tokens``: each document cut at multiples of the capacity."""
+def pieces(docs: DataFrame, path: str, capacity: int, cache: int = CACHE, most: int = BATCH_BYTES) -> DataFrame:
+    """``doc_id, start, length, ids_crc32, doc_tokens``: each document cut at multiples of the
+    capacity. ``cache`` (words) and ``most`` (bytes of text at once) bound a worker's memory."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def setup():
-        bpe = word_bpe(path)
+        bpe = word_bpe(path, cache)
         last = np.array([END_ID], "<u4")
 
         def cut(ids: np.ndarray) -> list[tuple]:
@@ -92,13 +93,13 @@ def pieces(docs: DataFrame, path: str, capacity: int) -> DataFrame:
 
         return lambda texts: list(map(cut, bpe.encode_batch(texts)))
 
-    return map_texts(texts, None, "start long, length long, ids_crc32 long, doc_tokens long", many=True, setup=setup)
+    return map_texts(texts, None, "start long, length long, ids_crc32 long, doc_tokens long", many=True, setup=setup, most=most)
 
 
-def packed(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
+def packed(docs: DataFrame, path: str, capacity: int = CAPACITY, cache: int = CACHE, most: int = BATCH_BYTES) -> DataFrame:
     """``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``."""
     spark = docs.sparkSession
-    cut = written(pieces(docs, path, capacity), "pack-pieces")
+    cut = written(pieces(docs, path, capacity, cache, most), "pack-pieces")
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     rows = slots(pack_histogram(histogram, capacity))
     names = ("_length", "_lo", "_hi", "_count", "_first", "_offset")

@@ -27,6 +27,7 @@ TEXTS = [
     (None, None),
     (11, "le chat est sur la table avec le chien"),
     (12, "a"),
+    (15, "½ ² 3"),
     (13, "mail bob@example.com or +1 (555) 010-9999, card 4111 1111 1111 1111, host 10.0.0.255"),
     (14, "don't STOP ÀÉß ﬁ İstanbul ΣΑΣ <|endoftext|> 中文 😀 \x1c end"),
     (14, "don't STOP ÀÉß ﬁ İstanbul ΣΑΣ <|endoftext|> 中文 😀 \x1c end"),
