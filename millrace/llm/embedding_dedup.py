@@ -189,3 +189,23 @@ def similar(rows: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES,
 
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar(documents(spark, sf_dir, "embeddings"))
+
+
+#: All pairs of a label; for small tables only.
+ORACLE = """
+WITH RECURSIVE v AS (
+    SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+    WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), u AS (
+    SELECT vec_id, label, e FROM v WHERE list_dot_product(e, e) > 0
+), l AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+    WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+), r AS (
+    SELECT vec_id AS id, vec_id AS c FROM embeddings UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.id
+), c AS (
+    SELECT id, min(c) AS component_id FROM r GROUP BY id
+)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+FROM embeddings e JOIN c ON c.id = e.vec_id LEFT JOIN (SELECT a, count(*) AS n FROM l GROUP BY a) n ON n.a = e.vec_id
+"""

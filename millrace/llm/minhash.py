@@ -217,3 +217,26 @@ def without_near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> D
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked(documents(spark, sf_dir), 3, 85)
+
+
+#: All documents that share a shingle; for small tables only.
+ORACLE = r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS l FROM documents
+), s AS (
+    SELECT doc_id, unnest(list_distinct(CASE WHEN len(l) = 0 THEN [] WHEN len(l) < 3 THEN [array_to_string(l, ' ')]
+        ELSE list_transform(range(1, len(l) - 1), lambda i: concat(l[i], ' ', l[i + 1], ' ', l[i + 2])) END)) AS x FROM w
+), n AS (
+    SELECT doc_id, count(*) AS c FROM s GROUP BY doc_id
+), p AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), l AS (
+    SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.c + y.c - k)
+), r AS (
+    SELECT doc_id AS id, doc_id AS c FROM documents UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.id
+), m AS (
+    SELECT id, min(c) AS component_id FROM r GROUP BY id
+)
+SELECT d.doc_id, coalesce(n.c, 0) AS n_shingles, m.component_id, d.doc_id = m.component_id AS kept
+FROM documents d JOIN m ON m.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""

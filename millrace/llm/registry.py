@@ -25,4 +25,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": exact_dedup.ORACLE}
+    return {
+        "op4_embedding_dedup": embedding_dedup.ORACLE,
+        "op5_minhash": minhash.ORACLE,
+        "op8_exact_dedup": exact_dedup.ORACLE,
+    }
