@@ -111,8 +111,9 @@ def dedup_report(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -
     suspects = texts.join(sized(hit, 120), texts["digest"] == hit["_d"]).drop("_d")
     stays = suspects.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy(F.col("digest").alias("_d")).agg(F.max("body").alias("kept_body"))
     stays = written(stays, "dedup-stays")  # a table of its own, so that AQE can split a hot digest in the join
-    differs = suspects.select("digest", "body").join(stays, F.col("digest") == F.col("_d")).where("body <> kept_body").select("digest").distinct()
-    differs = written(differs, "dedup-differs")
+    differs = suspects.select("digest", "body").join(stays, F.col("digest") == F.col("_d")).where("body <> kept_body").select("digest")
+    # an aggregation right above the join would keep AQE from splitting it
+    differs = written(differs, "dedup-differs").distinct()
 
     row = F.struct("doc_id", "uid")
     if differs.isEmpty():
