@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import exact_dedup, langid, minhash, packing, pii
 from millrace.llm.bpe import vocabulary
-from millrace.llm.common import documents, written
+from millrace.llm.common import documents, drop, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,5 +52,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        made = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        drop(docs)
+        docs = made
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -25,6 +25,10 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_own_dirs: dict[str, str] = {}
+_roots: set[str] = set()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; where it is unset (local tests), one of our own."""
     conf = spark.sparkContext.getConf()
@@ -33,17 +37,26 @@ def shared_dir(spark: SparkSession) -> str:
         return found.rstrip("/")
     if not conf.get("spark.master", "local").startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    own = tempfile.mkdtemp(prefix="millrace-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    app = spark.sparkContext.applicationId
+    if app not in _own_dirs:
+        _own_dirs[app] = tempfile.mkdtemp(prefix="millrace-")
+    return _own_dirs[app]
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex}"
+def _file_system(spark: SparkSession, path: str):
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = jvm_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    fs.deleteOnExit(jvm_path)
-    return path
+    return jvm_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), jvm_path
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is there is deleted when the application ends."""
+    root = f"{shared_dir(spark)}/millrace-{spark.sparkContext.applicationId}"
+    if root not in _roots:
+        fs, jvm_path = _file_system(spark, root)
+        fs.mkdirs(jvm_path)
+        fs.deleteOnExit(jvm_path)
+        _roots.add(root)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -55,18 +68,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.unset(BY_SIZE) if before is None else spark.conf.set(BY_SIZE, before)
-    return spark.read.schema(_nullable(df.schema)).parquet(path)
+    table = spark.read.schema(_nullable(df.schema)).parquet(path)
+    table._scratch_path = path
+    return table
 
 
-def _nullable(schema: T.StructType) -> T.StructType:
-    return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
+def drop(*tables: DataFrame | None) -> None:
+    """Delete written tables that nothing will read again."""
+    for table in tables:
+        path = vars(table).get("_scratch_path") if table is not None else None
+        if path:
+            fs, jvm_path = _file_system(table.sparkSession, path)
+            fs.delete(jvm_path, True)
 
 
-def drop_scratch(spark: SparkSession, df: DataFrame) -> None:
-    """Delete the files behind a ``written`` table that nothing will read again."""
-    for file in df.inputFiles():
-        path = spark._jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, False)
+def _nullable(schema: T.StructType) -> T.StructType:
+    return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
 
 
 def sized(table: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
@@ -119,20 +136,23 @@ def connected_components(edges: DataFrame) -> DataFrame:
             up = parent.select(F.col("id").alias("_i"), F.col("p").alias("_p"))
             jumped = parent.join(up, parent["p"] == up["_i"]).select("id", F.col("_p").alias("p"), (F.col("p") != F.col("_p")).alias("moved"))
             jumped = written(jumped, "cc-jump")
-            moved = not jumped.where("moved").isEmpty()
-            parent = jumped.select("id", "p")
-            if not moved:
+            drop(parent)
+            parent = jumped
+            if parent.where("moved").isEmpty():
                 break
-        if label is None:
-            label = parent
-        else:
-            step = parent.select(F.col("id").alias("_i"), F.col("p").alias("_p"))
-            label = written(label.join(step, label["p"] == step["_i"], "left").select("id", F.coalesce("_p", "p").alias("p")), "cc-label")
         root = parent.select(F.col("id").alias("_i"), F.col("p").alias("_p"))
         left = pairs.join(root, pairs["a"] == root["_i"]).select(F.col("_p").alias("ra"), "b")
         ends = left.join(root, left["b"] == root["_i"]).select("ra", F.col("_p").alias("rb"))
         ends = ends.where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
-        pairs = written(ends, "cc-edges")
+        rest = written(ends, "cc-edges")
+        drop(pairs)
+        pairs = rest
+        if label is None:
+            label = parent
+        else:
+            merged = written(label.join(root, label["p"] == root["_i"], "left").select("id", F.coalesce("_p", "p").alias("p")), "cc-label")
+            drop(label, parent)
+            label = merged
     if label is None:
         return pairs.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return label.select("id", F.col("p").alias("component"))

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .arrow import each, map_texts
 from .bpe import Recent
-from .common import connected_components, documents, sized, written
+from .common import connected_components, documents, drop, sized, written
 
 #: Coordinates and the collisions that a pair needs, by threshold in percent.
 K = 24
@@ -176,6 +176,7 @@ def linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
     chosen = F.array(*[F.struct(f"p{i}.id", f"p{i}.n", f"p{i}.odd") for i in range(MORE_PIVOTS + 1)])
     pivot = lists.where("c > 1").select(F.col("key").alias("_k"), F.explode(F.when(F.col("c") < LONG_LIST, F.slice(chosen, 1, 1)).otherwise(F.array_distinct(chosen))).alias("p"))
     pivot = pivot.select("_k", F.col("p.id").alias("a"), F.col("p.n").alias("pn"), F.col("p.odd").alias("po"))
+    pivot = written(pivot, "minhash-pivots")  # a table of its own, so that AQE can split a long list
     stars = posted.join(pivot, (F.col("key") == F.col("_k")) & (F.col("id") != F.col("a")) & _close("n", "pn", "odd", "po", percent))
     stars = stars.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
     links = written(confirmed(stars.distinct(), few, sets, t, percent), "minhash-links")
@@ -185,6 +186,7 @@ def linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
     known = written(known.select("key", "id", "n", "odd", F.coalesce("component", "id").alias("comp")), "minhash-known")
     parts = known.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
     largest = parts.groupBy("key").agg(F.max_by("comp", F.struct("m", "comp")).alias("big"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    largest = written(largest, "minhash-largest")
     mixed = written(known.join(largest.select(F.col("key").alias("_k"), "big"), F.col("key") == F.col("_k")).drop("_k"), "minhash-mixed")
     small = mixed.where("comp <> big").select(F.col("key").alias("_k"), F.col("id").alias("_id"), F.col("n").alias("_n"), F.col("odd").alias("_odd"), F.col("comp").alias("_comp"))
     apart = (F.col("key") == F.col("_k")) & (F.col("comp") != F.col("_comp")) & ((F.col("comp") == F.col("big")) | (F.col("_id") < F.col("id")))
@@ -201,6 +203,7 @@ def linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
         all_ids = label.select("id", "component").union(over.join(label, "id", "left_anti").select("id", F.col("id").alias("component")))
         label = written(all_ids.join(top, F.col("component") == F.col("_r"), "left").select("id", F.coalesce("_t", "component").alias("component")), "minhash-label")
 
+    drop(posted, active, few, sets, pivot, links, known, largest, mixed, more)
     final = reps.select("set_id", F.col("id").alias("rep")).join(label, F.col("rep") == label["id"], "left").select(F.col("set_id").alias("_s"), F.coalesce("component", "rep").alias("component_id"))
     out = sig.join(final, (F.col("set_id") == F.col("_s")) & F.col("doc_id").isNotNull(), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

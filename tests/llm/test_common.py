@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from millrace.llm.common import connected_components, gapless_rank, shared_dir, written
+from millrace.llm.common import connected_components, drop, gapless_rank, shared_dir, written
 
 
 def union_find(edges):
@@ -47,3 +47,13 @@ def test_ranks_have_no_gaps_and_hot_keys_are_spread(spark):
 def test_scratch_tables_go_to_the_shared_folder(spark):
     df = written(spark.range(3), "x")
     assert all(shared_dir(spark) in f for f in df.inputFiles())
+
+
+def test_dropping_deletes_written_tables_only(spark, tmp_path):
+    import os
+
+    table = written(spark.range(3).withColumn("_scratch_path", F.lit("x")), "x")
+    folder = os.path.dirname(table.inputFiles()[0].removeprefix("file://").removeprefix("file:"))
+    own = spark.createDataFrame([(str(tmp_path),)], "_scratch_path string")
+    drop(table, own, None)
+    assert not os.path.exists(folder) and tmp_path.exists()
