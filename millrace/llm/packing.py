@@ -104,7 +104,7 @@ def packed(docs: DataFrame, path: str, capacity: int = CAPACITY, cache: int = CA
     rows = slots(pack_histogram(histogram, capacity))
     names = ("_length", "_lo", "_hi", "_count", "_first", "_offset")
     table = pa.table({n: pa.array([r[i] for r in rows], pa.int64()) for i, n in enumerate(names)})
-    ranked = gapless_rank(cut, ["length"], [F.col("doc_id"), F.col("start")], F.xxhash64("doc_id", "start"), "_rank")
+    ranked = gapless_rank(cut, ["length"], [F.col("doc_id"), F.col("start"), F.col("ids_crc32")], F.xxhash64("doc_id", "start"), "_rank")
     # the patterns number a few times the capacity whatever the input, so the table is small
     found = ranked.join(F.broadcast(spark.createDataFrame(table)), (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_hi")))
     nth = F.col("_rank") - F.col("_lo")
