@@ -54,7 +54,7 @@ def map_texts(df: DataFrame, function: Callable[[list[str]], list] | None, schem
     made once per task, as ``setup()``. ``most``: bytes of text handled at once.
     """
     conf = df.sparkSession.conf
-    if conf.get(BATCH_CONF, None) is None or int(conf.get(BATCH_CONF)) > 64 << 20 or int(conf.get(BATCH_CONF)) <= 0:
+    if conf.get(BATCH_CONF, None) is None:
         conf.set(BATCH_CONF, str(BATCH_BYTES))
     kept = [f for f in df.schema.fields if f.name != "text"]
     made = T.StructType.fromDDL(schema)
