@@ -46,7 +46,13 @@ def pack_histogram(histogram: dict[int, int], capacity: int) -> list[tuple[tuple
             while spaces and not room[-spaces[0]]:
                 heapq.heappop(spaces)
             if not spaces or -spaces[0] < length:
-                put(capacity - length, (length,), left)
+                # one at a time, a new pack is the shortest until it is full of this length
+                each = capacity // length
+                full, rest = divmod(left, each)
+                if full:
+                    put(capacity - each * length, (length,) * each, full)
+                if rest:
+                    put(capacity - rest * length, (length,) * rest, 1)
                 break
             space = -spaces[0]
             pattern, count = room[space].pop()

@@ -36,6 +36,41 @@ def test_shortest_pack_first():
     assert packing.pack_histogram({}, 10) == []
 
 
+def one_at_a_time(histogram, capacity):
+    packs = []
+    for length in sorted(histogram, reverse=True):
+        for _ in range(histogram[length]):
+            shortest = min(packs, key=sum, default=None)
+            if shortest is None or sum(shortest) + length > capacity:
+                packs.append(shortest := [])
+            shortest.append(length)
+    return sorted(map(sum, packs))
+
+
+def test_pieces_of_one_length_share_the_packs_they_open():
+    assert packing.pack_histogram({100: 1000}, 2048) == [((100,) * 20, 50)]
+    assert sorted(packing.pack_histogram({3: 7}, 10)) == [((3,), 1), ((3, 3, 3), 2)]
+    rng = random.Random(4)
+    for _ in range(40):
+        histogram = {rng.randrange(1, 65): rng.randrange(1, 40) for _ in range(rng.randrange(1, 9))}
+        patterns = packing.pack_histogram(histogram, 64)
+        assert unpacked(patterns) == histogram
+        assert sorted(sum(p) for p, n in patterns for _ in range(n)) == one_at_a_time(histogram, 64)
+
+
+@pytest.mark.parametrize("hot", [1, 40, 150, 400])
+def test_little_padding_with_a_third_of_all_pieces_of_one_length(hot):
+    rng = random.Random(hot)
+    histogram = defaultdict(int)
+    for _ in range(20_000):
+        histogram[min(2048, int(rng.lognormvariate(5.5, 0.8)) + 1)] += 1
+    histogram[hot] += 10_000
+    patterns = packing.pack_histogram(histogram, 2048)
+    assert unpacked(patterns) == histogram
+    used = sum(n * c for n, c in histogram.items())
+    assert sum(c for _, c in patterns) * 2048 <= 1.02 * used + 2048
+
+
 def test_slots_cover_ranks_and_offsets_without_gaps():
     rows = packing.slots([((6, 2, 2), 3), ((6, 4), 2), ((10,), 5)])
     seen, ranks = defaultdict(list), defaultdict(list)
