@@ -15,7 +15,9 @@ Training takes at most about ``SAMPLE`` texts of each language, those with the l
 of doc_id, from rows that are not held out; counts are gathered as numbers per bucket, never
 texts, so the model has ``BUCKETS`` numbers for each language.
 
-Results for odd input: a null text and one without a letter are ``und`` with score 0; rows
+Results for odd input: a null text and one without a letter are ``und`` with score 0; a text
+without a word in a script that a learned language is written in has score 0 too, as nothing
+speaks for the language it is given; rows
 with a null doc_id are not learned from and are scored like others; without any row to learn
 from all is ``und``; repeated rows are scored each; an empty table gives an empty result.
 """
@@ -38,7 +40,7 @@ from .common import documents, written
 SAMPLE, BUCKETS, SMOOTH, FLOOR, SWITCH, BLOCK = 3000, 1 << 16, 0.02, -5.0, 12.0, 32
 #: Bytes of text labelled at once.
 AT_ONCE = 1 << 20
-#: Texts with a lower score are rejected by ``sure_language``; `und` always is.
+#: Texts without a higher score are rejected by ``sure_language``; `und` always is.
 SURE = 0.0
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -163,11 +165,14 @@ def label(texts: list[str], model: Model, switch: float = SWITCH) -> list[tuple[
     gap[np.arange(len(some)), top] = np.inf
     sure = 1 / (1 + np.exp(-np.clip(gap.min(axis=1) * np.minimum(1, 8 / lengths), -30, 30))) if len(model.languages) > 1 else np.ones(len(some))
     share = letters[np.arange(len(some)), top] / letters.sum(axis=1)
+    written_in = model.scripts.any(axis=1)[_scripts_of(np.fromiter((ord(w[0]) for w in distinct), np.int64, len(distinct)))]
+    lettered = np.fromiter((any(map(str.isalpha, w)) for w in distinct), bool, len(distinct))
+    evidence = np.logical_or.reduceat((written_in & lettered)[number], begin)
     cut = np.flatnonzero(np.diff(path)) + 1
     for i, k in enumerate(some):
         starts = [begin[i], *cut[np.searchsorted(cut, begin[i], side="right") : np.searchsorted(cut, end[i], side="left")], end[i]]
         spans = [(int(a - begin[i]), int(b - a), model.languages[path[a]]) for a, b in zip(starts, starts[1:])]
-        out[k] = (model.languages[top[i]], float(sure[i] * share[i]), spans)
+        out[k] = (model.languages[top[i]], float(sure[i] * share[i] * evidence[i]), spans)
     return out
 
 
@@ -230,11 +235,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sure_language(docs: DataFrame, sure: float = SURE) -> DataFrame:
-    """The rows of ``docs``, with all columns, whose language is found with a score of at least ``sure``."""
+    """The rows of ``docs``, with all columns, whose language is found with a score above ``sure``."""
     model = train(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rest = [c for c in docs.columns if c != "text"]
     packed = docs.select(F.struct(*rest).alias("row"), F.col("text").cast("string").alias("text"))
     scored = map_texts(packed, lambda t: [r[:2] for r in label(t, shared.value)], "lang_pred string, score double", keep=True, most=AT_ONCE)
     columns = {c: F.col(f"row.`{c}`") for c in rest} | {"text": F.col("text")}
-    return scored.where((F.col("lang_pred") != "und") & (F.col("score") >= sure)).select(*[columns[c].alias(c) for c in docs.columns])
+    return scored.where((F.col("lang_pred") != "und") & (F.col("score") > sure)).select(*[columns[c].alias(c) for c in docs.columns])

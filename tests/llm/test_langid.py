@@ -53,6 +53,19 @@ def test_odd_rows_and_filter(spark):
     assert kept.count() == sum(any(c.isalpha() for c in t or "") for _, t in TEXTS)
 
 
+def test_texts_in_no_learned_script_are_rejected(spark):
+    learned = corpus(spark)
+    foreign = ["中文 文本", "ελληνικό κείμενο", "½ 中文", "ไทย"]
+    fine = ["中文 house", "qxzj", "ж", "the ελληνικό"]
+    model = langid.train(learned)
+    got = langid.label(foreign + fine, model)
+    assert all(lang in model.languages for lang, _, _ in got)
+    assert [score > 0 for _, score, _ in got] == [False] * len(foreign) + [True] * len(fine)
+    docs = learned.union(spark.createDataFrame([(1000 + i, t, None) for i, t in enumerate(foreign + fine)], learned.schema))
+    kept = {r["doc_id"] for r in langid.sure_language(docs).collect()}
+    assert kept == set(range(180)) | {1000 + len(foreign) + i for i in range(len(fine))}
+
+
 def test_nothing_to_learn_from(spark):
     empty = empty_documents(spark)
     assert langid.train(empty).languages == [] and langid.sure_language(empty).count() == 0
