@@ -141,11 +141,15 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float) -> np.ndarra
     return path.reshape(-1)[place]
 
 
+def _lettered(word: str) -> bool:
+    return any(map(str.isalpha, word))
+
+
 def label(texts: list[str], model: Model, switch: float = SWITCH) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
     """Each text's language, its score, and spans ``first word, words, language``."""
     out: list = [("und", 0.0, [])] * len(texts)
     words = [WORD.findall(t.lower()) for t in texts]
-    some = [k for k, w in enumerate(words) if model.languages and any(map(str.isalpha, w))]  # not only ½ and the like
+    some = [k for k, w in enumerate(words) if model.languages and any(map(_lettered, w))]  # not only ½ and the like
     if not some:
         return out
     numbered = pa.array([w for k in some for w in words[k]], pa.large_string()).dictionary_encode()
@@ -166,7 +170,7 @@ def label(texts: list[str], model: Model, switch: float = SWITCH) -> list[tuple[
     sure = 1 / (1 + np.exp(-np.clip(gap.min(axis=1) * np.minimum(1, 8 / lengths), -30, 30))) if len(model.languages) > 1 else np.ones(len(some))
     share = letters[np.arange(len(some)), top] / letters.sum(axis=1)
     written_in = model.scripts.any(axis=1)[_scripts_of(np.fromiter((ord(w[0]) for w in distinct), np.int64, len(distinct)))]
-    lettered = np.fromiter((any(map(str.isalpha, w)) for w in distinct), bool, len(distinct))
+    lettered = np.fromiter(map(_lettered, distinct), bool, len(distinct))
     evidence = np.logical_or.reduceat((written_in & lettered)[number], begin)
     cut = np.flatnonzero(np.diff(path)) + 1
     for i, k in enumerate(some):

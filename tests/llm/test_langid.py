@@ -66,6 +66,14 @@ def test_texts_in_no_learned_script_are_rejected(spark):
     assert kept == set(range(180)) | {1000 + len(foreign) + i for i in range(len(fine))}
 
 
+def test_words_that_mix_letters_and_other_signs_have_letters(spark):
+    learned = corpus(spark)
+    texts = ["m²", "H₂O", "2 ½m", "²", "½ ² 3"]
+    assert [lang != "und" for lang, _, _ in langid.label(texts, langid.train(learned))] == [any(map(str.isalpha, t)) for t in texts]
+    docs = learned.union(spark.createDataFrame([(1000 + i, t, None) for i, t in enumerate(texts)], learned.schema))
+    assert {r["doc_id"] for r in langid.sure_language(docs).collect() if r["doc_id"] >= 1000} == {1000, 1001, 1002}
+
+
 def test_nothing_to_learn_from(spark):
     empty = empty_documents(spark)
     assert langid.train(empty).languages == [] and langid.sure_language(empty).count() == 0
