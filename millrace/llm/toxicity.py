@@ -1,15 +1,16 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Three transducers are composed. The *lexical* one maps words to tags: insult, threat, target,
-negation, reported speech, other. Its insults are learned: words, and stems of four letters
-and more, that labelled toxic documents hold far more often than the others than chance
-allows, together with a short list of fixed ones; an insult's weight is its log-odds. The
-*scope* one reads tags from left to right and says of each insult or threat whether it
-stands plain, negated (a negation at most three words before) or reported (after a verb of
-saying in its clause). The *clause* one notes whether a target occurs and, at the end of the
-clause, puts out what the clause counts as. Scope and clause are composed into one table
-when the module is loaded. A document's score is a logistic function of what its clauses put
-out; its weights are fitted on the sample, drawn towards fixed ones.
+The *lexical* step looks up each word's tag: insult, threat, target, negation, reported speech,
+other. Two transducers read the tags. The insults are learned: words, and stems of four letters
+and more, that labelled toxic documents hold far more often than the others than chance allows,
+together with a short list of fixed ones; an insult's weight is its log-odds. The *scope* one
+reads tags from left to right and says of each insult or threat whether it stands plain, negated
+(a negation at most three words before) or reported (after a verb of saying in its clause). The
+*clause* one notes whether a target occurs and, at the end of the clause, says whether what came
+before its target is raised; the weights of that, however many, are kept beside the state. Scope
+and clause are composed into one table when the module is loaded. A document's score is a
+logistic function of what its clauses put out; its weights are fitted on the sample, drawn
+towards fixed ones.
 
 At most about ``SAMPLE`` labelled rows of each class are learned from, those with the least
 hashes of doc_id; near copies among them count once. What reaches the driver are candidate
@@ -83,26 +84,21 @@ def scope(reach: int = 3) -> Fst:
 def clause() -> Fst:
     """Puts out each mark at once, as aimed if a target came before; what came before its target
     is raised to aimed at the end."""
-    t = Fst((False, 0, 0))
+    t = Fst(False)
     marks = [(tag, how) for tag in (INSULT, THREAT) for how in ("plain", "negated", "reported")] + [(TARGET, "")]
     for aimed in (False, True):
-        for insults in range(4):
-            for threats in range(4):
-                state = (aimed, insults, threats)
-                for tag, how in marks:
-                    after, out = state, ()
-                    if tag == TARGET:
-                        after = (True, insults, threats)
-                    elif how != "plain":
-                        out = ((how, tag),)
-                    elif aimed:
-                        out = (("aimed " + tag, tag),)
-                    elif tag == INSULT:
-                        after, out = (aimed, min(3, insults + 1), threats), ((tag, tag),)
-                    else:
-                        after, out = (aimed, insults, min(3, threats + 1)), ((tag, tag),)
-                    t.arcs[state, (tag, how)] = after, out
-                t.final[state] = ((("raise insult", ""),) * insults + (("raise threat", ""),) * threats) if aimed else ()
+        for tag, how in marks:
+            after, out = aimed, ()
+            if tag == TARGET:
+                after = True
+            elif how != "plain":
+                out = ((how, tag),)
+            elif aimed:
+                out = (("aimed " + tag, tag),)
+            else:
+                out = ((tag, tag),)
+            t.arcs[aimed, (tag, how)] = after, out
+        t.final[aimed] = (("raise", INSULT), ("raise", THREAT)) if aimed else ()
     return t
 
 
@@ -174,10 +170,8 @@ class Scorer:
                 f[name] += weight
                 if name == of:
                     plain[of].append(weight)
-        for name, _ in GRAMMAR.final[state]:
-            of = name.removeprefix("raise ")
-            if plain[of]:
-                weight = plain[of].pop()
+        for _, of in GRAMMAR.final[state]:
+            for weight in plain[of]:
                 f[of] -= weight
                 f["aimed " + of] += weight
 

@@ -24,6 +24,13 @@ def test_the_grammar_scores_clauses():
     assert clauses("an idiot and a moron, you know") == {"aimed insult": 6.0}
 
 
+def test_all_that_came_before_a_target_is_aimed():
+    for n in (3, 4, 5, 40):
+        assert clauses("idiot " * n + "that is you") == {"aimed insult": 3.0 * n}
+        assert clauses("idiot " * n + "kill " * n + "you moron") == {"aimed insult": 3.0 * (n + 1), "aimed threat": n}
+        assert clauses("idiot " * n) == {"insult": 3.0 * n}
+
+
 def test_scores_rank_as_they_should():
     scorer = tox.Scorer(tox.default_model())
     score = lambda t: scorer.score(scorer.features(t)[None])[0]
