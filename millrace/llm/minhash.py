@@ -28,7 +28,8 @@ shingle sets (64-bit hashes of the shingles).
 Results for odd input: a null or wordless text has an empty set and links with nothing; a
 text with fewer words than a shingle has is one shingle; a null id counts as a vertex of its
 own kind: it is linked with nothing and stays its own component (null); repeated rows are
-copies of one another; an empty table gives an empty result.
+copies of one another; where one doc_id names several texts, each row has its own text's
+size and component; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -88,6 +89,10 @@ class Shingler:
         return np.unique(_mix(s))
 
 
+def _digest(shingles: np.ndarray) -> bytes | None:
+    return xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None
+
+
 def signatures(docs: DataFrame, words: int) -> DataFrame:
     """``doc_id, n, set_id, sig, odd``: size and 128-bit digest of the set, K coordinates, odd sketch."""
 
@@ -103,7 +108,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
             for at in range(0, len(s), 4096):
                 low = np.minimum(low, ((s[at : at + 4096, None] ^ add) * mul).min(axis=0))
             odd = np.packbits(np.bincount((s & np.uint64(ODD - 1)).view(np.int64), minlength=ODD).astype(np.uint8) & 1)
-            return len(s), xxhash.xxh3_128_digest(s.tobytes()), low.view(np.int64).tolist(), odd.view(np.int64).tolist()
+            return len(s), _digest(s), low.view(np.int64).tolist(), odd.view(np.int64).tolist()
 
         return each(call)
 
@@ -153,22 +158,36 @@ def confirmed(pairs: DataFrame, reps: DataFrame, sets: DataFrame, t: int, percen
 
 def linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept``."""
+    return _grouped(docs, words, percent).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """``doc_id, set_id, n_shingles, component_id, first_set``: a row's set, the least doc_id of
+    its component, and of that one's sets in the component the least. A vertex is a set, since a
+    doc_id may name several."""
     t = T[percent]
     sig = written(signatures(docs, words), "minhash-signatures")
     own = sig.where("n > 0 and doc_id is not null")
-    reps = own.groupBy("set_id").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("odd").alias("odd"))
-    reps = written(reps, "minhash-representatives")
+    reps = own.groupBy("set_id").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("odd").alias("odd"))
+    reps = written(reps.withColumn("id", F.monotonically_increasing_id()), "minhash-representatives")
     posted = written(postings(reps.select("id", "n", "sig", "odd"), t), "minhash-postings")
     active = written(posted.select("id").distinct(), "minhash-active")
-    few = reps.join(sized(active, 24), "id", "left_semi").select("id", "n", "sig")
+    few = reps.join(sized(active, 24), "id", "left_semi").select("id", "n", "sig", "set_id", "doc")
     few = written(few, "minhash-candidates")
 
     def setup():
         shingles = Shingler(words)
-        return each(lambda text: (shingles(text).view(np.int64).tolist(),))
 
-    wanted = _texts(docs).withColumnRenamed("doc_id", "id").join(sized(active, 24), "id", "left_semi")
-    sets = written(map_texts(wanted.select("id", "text"), None, "shingles array<long>", setup=setup).dropDuplicates(["id"]), "minhash-sets")
+        def call(text: str) -> tuple:
+            found = shingles(text)
+            return _digest(found), found.view(np.int64).tolist()
+
+        return each(call)
+
+    of = few.select(F.col("doc").alias("doc_id"))
+    wanted = _texts(docs).join(sized(of, 24), "doc_id", "left_semi")
+    sets = map_texts(wanted.select("text"), None, "set_id binary, shingles array<long>", setup=setup).dropDuplicates(["set_id"])
+    sets = written(sets.join(sized(few.select("set_id", "id"), 48), "set_id").select("id", "shingles"), "minhash-sets")
 
     central = F.max(F.struct("weight", "id", "n", "odd"))
     others = [F.min(F.struct(F.xxhash64("id", F.lit(r)).alias("h"), "id", "n", "odd")) for r in range(MORE_PIVOTS)]
@@ -204,18 +223,45 @@ def linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
         label = written(all_ids.join(top, F.col("component") == F.col("_r"), "left").select("id", F.coalesce("_t", "component").alias("component")), "minhash-label")
 
     drop(posted, active, few, sets, pivot, links, known, largest, mixed, more)
-    final = reps.select("set_id", F.col("id").alias("rep")).join(label, F.col("rep") == label["id"], "left").select(F.col("set_id").alias("_s"), F.coalesce("component", "rep").alias("component_id"))
+    first = label.join(reps.select("id", "doc", "set_id"), "id").groupBy(F.col("component").alias("_c")).agg(F.min(F.struct("doc", "set_id")).alias("first"))
+    first = written(first, "minhash-first")
+    final = reps.select("set_id", "doc", "id").join(label.select(F.col("id").alias("_i"), "component"), F.col("id") == F.col("_i"), "left")
+    final = final.join(sized(first, 48), F.col("component") == F.col("_c"), "left")
+    final = final.select(F.col("set_id").alias("_s"), F.coalesce("first.doc", "doc").alias("component_id"), F.coalesce("first.set_id", "set_id").alias("first_set"))
     out = sig.join(final, (F.col("set_id") == F.col("_s")) & F.col("doc_id").isNotNull(), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select("doc_id", "set_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "first_set")
 
 
 def without_near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` with one document of each group, its smallest id, and all columns.
 
-    Rows that repeat the id that stays are copies of it; they can't be told apart and stay.
+    Rows that repeat the id that stays and its set are copies of it; they can't be told apart
+    and stay. Where a doc_id names texts that go and texts that stay, its rows are told apart
+    by their sets.
     """
-    gone = linked(docs.select("doc_id", "text"), words, percent).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(sized(written(gone, "minhash-gone"), 24), F.col("doc_id") == F.col("_gone"), "left_anti")
+    rows = _grouped(docs.select("doc_id", "text"), words, percent)
+    goes = F.coalesce((F.col("doc_id") != F.col("component_id")) | (F.col("set_id") != F.col("first_set")), F.lit(False))
+    rows = rows.select("doc_id", "set_id", goes.alias("goes"))
+    gone = rows.groupBy(F.col("doc_id").alias("_gone")).agg(F.bool_and("goes").alias("_all"), F.bool_or("goes").alias("_some"))
+    gone = written(gone.where("_some").select("_gone", "_all"), "minhash-gone")
+    partly = gone.where("not _all").select("_gone")
+    rest = docs.join(sized(gone, 24), F.col("doc_id") == F.col("_gone"), "left_anti")
+    if partly.isEmpty():
+        return rest
+    pairs = rows.where("goes").join(sized(partly, 24), F.col("doc_id") == F.col("_gone"), "left_semi").select(F.col("doc_id").alias("_gone"), F.col("set_id").alias("_set")).distinct()
+    pairs = written(pairs, "minhash-gone-sets")
+
+    def setup():
+        shingles = Shingler(words)
+        return each(lambda text: (_digest(shingles(text)),))
+
+    apart = docs.join(sized(partly, 24), F.col("doc_id") == F.col("_gone"), "left_semi")
+    others = [c for c in docs.columns if c != "text"]
+    apart = apart.select(F.struct(*others).alias("row"), F.col("text").cast("string").alias("text"))
+    apart = map_texts(apart, None, "_own binary", setup=setup, keep=True)
+    apart = apart.join(sized(pairs, 48), (F.col("row.doc_id") == F.col("_gone")) & (F.col("_own") == F.col("_set")), "left_anti")
+    columns = {c: F.col(f"row.`{c}`") for c in others} | {"text": F.col("text")}
+    return rest.unionByName(apart.select(*[columns[c].alias(c) for c in docs.columns]))
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

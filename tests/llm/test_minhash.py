@@ -69,6 +69,21 @@ def test_empty_table(spark):
     assert minhash.without_near_copies(empty_documents(spark)).count() == 0
 
 
+def test_one_id_that_names_several_texts(spark):
+    rng = random.Random(8)
+    text = lambda: [f"w{rng.randrange(10**6)}" for _ in range(100)]
+    a, b, c, e = text(), text(), text(), text()
+    near = {k: mutated(v, rng, 2) for k, v in zip("abce", (a, b, c, e))}
+    docs = [(1, " ".join(a)), (7, near["a"]), (7, " ".join(b)), (9, near["b"]), (20, " ".join(c)), (20, near["c"]), (30, " ".join(e)), (30, None), (30, ""), (40, near["e"]), (40, near["a"])]
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    brute_rows = brute([(i, t) for i, (_, t) in enumerate(docs)], 5, 80)
+    want = sorted((d, brute_rows[i][0], min(docs[j][0] for j in brute_rows if brute_rows[j][1] == brute_rows[i][1])) for i, (d, _) in enumerate(docs))
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in minhash.linked(rows, 5, 80).collect()) == want
+    kept = [(r["doc_id"], r["text"]) for r in minhash.without_near_copies(rows).collect()]
+    assert len(kept) == 6 and {(1, " ".join(a)), (7, " ".join(b)), (30, " ".join(e)), (30, None), (30, "")} <= set(kept)
+    assert sum(d == 20 for d, _ in kept) == 1
+
+
 def test_sketches_never_differ_more_than_the_sets(spark):
     rng = random.Random(5)
     docs = [(i, " ".join(f"w{rng.randrange(60)}" for _ in range(50))) for i in range(30)]
