@@ -7,8 +7,12 @@ application ends.
 
 from __future__ import annotations
 
+import re
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +29,22 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(name: str) -> Column:
+    """The column of that very name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def row_of(docs: DataFrame, without: str = "") -> Column:
+    """All columns of ``docs`` but ``without`` as the struct ``row``, so that none clashes with what
+    an operator adds beside it."""
+    return F.struct(F.lit(0).alias("_"), *[quoted(c).alias(f"c{i}") for i, c in enumerate(docs.columns) if c.lower() != without]).alias("row")
+
+
+def columns_of(docs: DataFrame, **own: Column) -> list[Column]:
+    """The columns of ``docs`` out of ``row``, in their order; those in ``own`` from there."""
+    return [own.get(c.lower(), F.col(f"row.c{i}")).alias(c) for i, c in enumerate(docs.columns)]
+
+
 _own_dirs: dict[str, str] = {}
 _roots: set[str] = set()
 
@@ -35,7 +55,7 @@ def shared_dir(spark: SparkSession) -> str:
     found = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    if not conf.get("spark.master", "local").startswith("local"):
+    if not re.match(r"local(\[|$)", conf.get("spark.master", "local")):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
@@ -48,6 +68,11 @@ def _file_system(spark: SparkSession, path: str):
     return jvm_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), jvm_path
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, jvm_path = _file_system(spark, path)
+    return fs.exists(jvm_path)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; what is there is deleted when the application ends."""
     root = f"{shared_dir(spark)}/millrace-{spark.sparkContext.applicationId}"
@@ -59,15 +84,34 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
+_lock = threading.Lock()
+_held: dict[tuple[int, str], list] = {}
+
+
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session's setting for a while. Where several threads hold it at once, the last one to
+    leave puts back what the first one found."""
+    at = (spark._jsparkSession.hashCode(), key)
+    with _lock:
+        held = _held.setdefault(at, [0, spark.conf.get(key, None)])
+        held[0] += 1
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        with _lock:
+            held[0] -= 1
+            if not held[0]:
+                del _held[at]
+                spark.conf.unset(key) if held[1] is None else spark.conf.set(key, held[1])
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: cuts the lineage, survives lost executors."""
     spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
-    before = spark.conf.get(BY_SIZE, None)
-    spark.conf.set(BY_SIZE, "false")
-    try:
+    with setting(spark, BY_SIZE, "false"):
         df.write.parquet(path)
-    finally:
-        spark.conf.unset(BY_SIZE) if before is None else spark.conf.set(BY_SIZE, before)
     table = spark.read.schema(_nullable(df.schema)).parquet(path)
     table._scratch_path = path
     return table
@@ -120,8 +164,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Contraction: every vertex hooks to its smallest neighbour, pointer jumping flattens the
     trees, edges are renamed to the roots and deduplicated; what stays between different
-    roots is the next round's graph. The vertices that still have edges at least halve in a
-    round. All steps are joins and aggregations over written tables; nothing reaches the
+    roots is the next round's graph. A vertex that is less than all its neighbours may wait a
+    round, but then a neighbour has hooked to a smaller one and it hooks to that one's root, so
+    the vertices that still have edges at least halve in two rounds. All steps are joins and aggregations over written tables; nothing reaches the
     driver but counts. Null ends and loops are ignored.
     """
     spark = edges.sparkSession

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrow import map_texts
-from .common import documents, written
+from .common import columns_of, documents, row_of
 
 SAMPLE, BUCKETS, SMOOTH, FLOOR, SWITCH, BLOCK = 3000, 1 << 16, 0.02, -5.0, 12.0, 32
 #: Bytes of text labelled at once.
@@ -242,8 +242,6 @@ def sure_language(docs: DataFrame, sure: float = SURE) -> DataFrame:
     """The rows of ``docs``, with all columns, whose language is found with a score above ``sure``."""
     model = train(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rest = [c for c in docs.columns if c != "text"]
-    packed = docs.select(F.struct(*rest).alias("row"), F.col("text").cast("string").alias("text"))
+    packed = docs.select(row_of(docs, "text"), F.col("text").cast("string").alias("text"))
     scored = map_texts(packed, lambda t: [r[:2] for r in label(t, shared.value)], "lang_pred string, score double", keep=True, most=AT_ONCE)
-    columns = {c: F.col(f"row.`{c}`") for c in rest} | {"text": F.col("text")}
-    return scored.where((F.col("lang_pred") != "und") & (F.col("score") > sure)).select(*[columns[c].alias(c) for c in docs.columns])
+    return scored.where((F.col("lang_pred") != "und") & (F.col("score") > sure)).select(*columns_of(docs, text=F.col("text")))

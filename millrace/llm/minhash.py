@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from .arrow import each, map_texts
 from .bpe import Recent
-from .common import connected_components, documents, drop, sized, written
+from .common import columns_of, connected_components, documents, drop, row_of, sized, written
 
 #: Coordinates and the collisions that a pair needs, by threshold in percent.
 K = 24
@@ -245,7 +245,9 @@ def without_near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> D
     gone = rows.groupBy(F.col("doc_id").alias("_gone")).agg(F.bool_and("goes").alias("_all"), F.bool_or("goes").alias("_some"))
     gone = written(gone.where("_some").select("_gone", "_all"), "minhash-gone")
     partly = gone.where("not _all").select("_gone")
-    rest = docs.join(sized(gone, 24), F.col("doc_id") == F.col("_gone"), "left_anti")
+    # all columns in one struct, so that none of theirs clashes with ours
+    packed = docs.select(row_of(docs, "text"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    rest = packed.join(sized(gone, 24), F.col("id") == F.col("_gone"), "left_anti").select(*columns_of(docs, text=F.col("text")))
     if partly.isEmpty():
         return rest
     pairs = rows.where("goes").join(sized(partly, 24), F.col("doc_id") == F.col("_gone"), "left_semi").select(F.col("doc_id").alias("_gone"), F.col("set_id").alias("_set")).distinct()
@@ -255,13 +257,10 @@ def without_near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> D
         shingles = Shingler(words)
         return each(lambda text: (_digest(shingles(text)),))
 
-    apart = docs.join(sized(partly, 24), F.col("doc_id") == F.col("_gone"), "left_semi")
-    others = [c for c in docs.columns if c != "text"]
-    apart = apart.select(F.struct(*others).alias("row"), F.col("text").cast("string").alias("text"))
+    apart = packed.join(sized(partly, 24), F.col("id") == F.col("_gone"), "left_semi")
     apart = map_texts(apart, None, "_own binary", setup=setup, keep=True)
-    apart = apart.join(sized(pairs, 48), (F.col("row.doc_id") == F.col("_gone")) & (F.col("_own") == F.col("_set")), "left_anti")
-    columns = {c: F.col(f"row.`{c}`") for c in others} | {"text": F.col("text")}
-    return rest.unionByName(apart.select(*[columns[c].alias(c) for c in docs.columns]))
+    apart = apart.join(sized(pairs, 48), (F.col("id") == F.col("_gone")) & (F.col("_own") == F.col("_set")), "left_anti")
+    return rest.unionByName(apart.select(*columns_of(docs, text=F.col("text"))))
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

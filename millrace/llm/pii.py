@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrow import each, map_texts
-from .common import documents
+from .common import columns_of, documents, row_of
 
 # The contract's expressions and limits.
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -150,14 +150,13 @@ def pii_report(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with its spans replaced in ``text``; other columns and clean texts as they were
     (a null text stays null). ``n_chars``, where it exists, follows the new text."""
-    rest = [c for c in docs.columns if c != "text"]
-    packed = docs.select(F.struct(*rest).alias("row"), F.col("text").isNull().alias("was_null"), F.col("text").cast("string").alias("text"))
+    packed = docs.select(row_of(docs, "text"), F.col("text").isNull().alias("was_null"), F.col("text").cast("string").alias("text"))
     out = map_texts(packed, each(lambda t: (redacted(t),)), "clean string")
-    text = F.when(F.col("was_null"), F.lit(None)).otherwise(F.col("clean"))
-    columns = {c: F.col(f"row.`{c}`") for c in rest} | {"text": text}
-    if "n_chars" in columns:
-        columns["n_chars"] = F.when(F.col("was_null"), F.col("row.n_chars")).otherwise(F.length("clean").cast(docs.schema["n_chars"].dataType))
-    return out.select(*[columns[c].alias(c) for c in docs.columns])
+    own = {"text": F.when(~F.col("was_null"), F.col("clean"))}
+    at = next((i for i, c in enumerate(docs.columns) if c.lower() == "n_chars"), None)
+    if at is not None:
+        own["n_chars"] = F.when(F.col("was_null"), F.col(f"row.c{at}")).otherwise(F.length("clean").cast(docs.schema[at].dataType))
+    return out.select(*columns_of(docs, **own))
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,13 @@
 rows, and columns whose names clash with those that the operators make."""
 
 import os
+import pathlib
+import re
 
 import pytest
+from pyspark.sql import functions as F
+
+from millrace.llm import common
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
@@ -41,3 +46,18 @@ def odd_documents(spark):
 
 def empty_documents(spark):
     return spark.createDataFrame([], SCHEMA)
+
+
+def made_names():
+    """Every name that the modules give a column."""
+    folder = pathlib.Path(common.__file__).parent
+    text = "\n".join(p.read_text() for p in folder.glob("*.py"))
+    found = re.findall(r"""(?:alias|withColumn|withColumnRenamed)\(f?"(\w+)\"""", text) + re.findall(r"\b(\w+) (?:long|string|int|binary|double|array<)", text)
+    return sorted({n.lower() for n in [*found, "a.b", "row", "_id", "_sha", "_own_sha", "_gone", "key", "_"]} - {"doc_id", "text", "n_chars"})
+
+
+def clashing_documents(spark, upper):
+    """The odd rows with every name that an operator could use for itself, in either case."""
+    names = [n.upper() if upper else n for n in made_names()]
+    rows = odd_documents(spark).select("doc_id", "text", "n_chars")
+    return rows.select(*[F.lit(i).alias(n) for i, n in enumerate(names)], "*")

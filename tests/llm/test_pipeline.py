@@ -5,7 +5,7 @@ import pytest
 import corpus_pipeline
 from millrace.llm import pii
 
-from .data import SF, empty_documents, needs_tables, needs_vocabularies, odd_documents
+from .data import SF, clashing_documents, empty_documents, made_names, needs_tables, needs_vocabularies, odd_documents
 from .test_minhash import brute
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -52,3 +52,19 @@ def test_every_stage_takes_odd_and_empty_tables(spark):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty_documents(spark), SF).count() == 0
         assert stage(spark, odd_documents(spark), SF).count() >= 0
+
+
+@pytest.mark.parametrize("upper", [False, True])
+def test_every_stage_but_the_last_returns_columns_of_any_name(spark, upper):
+    docs = clashing_documents(spark, upper)
+    assert len(made_names()) > 100
+    want = docs.select("doc_id", "text").distinct().count()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, SF)
+        assert got.columns == docs.columns, name
+        rows = got.collect()
+        assert 0 < len(rows) <= docs.count()
+        for i, c in enumerate(c for c in docs.columns if c not in ("doc_id", "text", "n_chars")):
+            assert {r[docs.columns.index(c)] for r in rows} == {i}, (name, c)
+    assert want > 5
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() >= want
