@@ -28,9 +28,10 @@ import regex
 
 INF = 1 << 60
 #: White space as the tokenizers' patterns have it.
-SPACE = "\t-\r \x85\xa0  -     　"
-#: Entries of a piece cache before the older half goes.
-CACHE = 250_000
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Entries of a piece cache before the older half goes, and characters of the longest key that
+#: is kept: unspaced texts come as one piece, and together these bound what a cache holds.
+CACHE, KEY = 250_000, 64
 #: Stands for the word-end suffix inside this module.
 END = "\0"
 
@@ -53,7 +54,7 @@ def as_symbols(text: str) -> str:
 
 class Recent(dict):
     """A mapping that computes missing values; beyond ``limit`` new entries the older
-    generation is forgotten."""
+    generation is forgotten. Texts longer than ``KEY`` are computed each time."""
 
     def __init__(self, make, limit: int = CACHE):
         super().__init__()
@@ -63,11 +64,15 @@ class Recent(dict):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        if len(self) >= self.limit:
-            self.age()
-        self[key] = value
+        self.keep(key, value)
         return value
 
+    def keep(self, key, value) -> None:
+        if isinstance(key, int) or len(key) <= KEY:
+            if len(self) >= self.limit:
+                self.age()
+            self[key] = value
+
     def age(self) -> None:
         self.old = dict(self)
         self.clear()
@@ -155,70 +160,79 @@ class Bpe:
             shorter[i] = next((usable[s[:n]] for n in range(len(s) - 1, 0, -1) if s[:n] in usable), -1)
 
         known, ends = compatible.get, {}  # ends: the longest token that begins a short rest of a piece
+        # a search reads its whole string, so it gets a window; a match that begins in its first
+        # part is not cut by its end
+        trusted = 256
+        window = trusted + max(map(len, usable))
 
         def encode(s: str) -> list[int]:
             whole = usable.get(s)
             if whole is not None:
                 return [whole]
             out: list[int] = []
-            pos, last, token = 0, -1, -1
-            for _, (n, token) in iter_long(s):
-                if last >= 0:
-                    fits = known(last << 20 | token)
-                    if fits is None:
-                        fits = compatible[last << 20 | token]
-                    if not fits:
-                        break
-                out.append(token)
-                pos += n
-                last = token
-            else:
-                if pos == len(s):
-                    return out
-                out, pos, last, token = [], 0, -1, -1
-                for _, (n, token) in iter_long(s):
-                    break
-            # ``out`` is compatible up to ``pos``; ``token`` is to be tried next
-            n, dead = len(s), ()
+            pos, last, n, dead = 0, -1, len(s), set()
             while True:
-                while token >= 0:
-                    end = pos + size[token]
-                    if end not in dead:
-                        if last < 0:
-                            break
+                # follow the longest matches as long as they fit
+                token, stop = -1, pos + trusted
+                for _, (length, token) in iter_long(s if n <= window and not pos else s[pos : pos + window]):
+                    if last >= 0:
                         fits = known(last << 20 | token)
                         if fits is None:
                             fits = compatible[last << 20 | token]
-                        if fits:
+                        if not fits:
                             break
-                    token = shorter[token]
-                if token >= 0:
+                    if dead and pos + length in dead:
+                        break
                     out.append(token)
-                    pos, last = end, token
-                    if pos == n:
-                        return out
-                    if n - pos > 8:
-                        token = longest(s, pos)
-                    else:
+                    pos += length
+                    last = token
+                    if pos > stop and n > window:
+                        token = -2
+                        break
+                else:
+                    token = -1
+                if pos == n:
+                    return out
+                if token == -2:
+                    continue
+                # ``out`` is compatible up to ``pos``; ``token`` is to be tried next
+                while True:
+                    while token >= 0:
+                        end = pos + size[token]
+                        if end not in dead:
+                            if last < 0:
+                                break
+                            fits = known(last << 20 | token)
+                            if fits is None:
+                                fits = compatible[last << 20 | token]
+                            if fits:
+                                break
+                        token = shorter[token]
+                    if token >= 0:
+                        out.append(token)
+                        pos, last = end, token
+                        if pos == n:
+                            return out
+                        if n - pos > 8:
+                            break
                         rest = s[pos:]
                         token = ends.get(rest)
                         if token is None:
                             if len(ends) > 100_000:
                                 ends.clear()
-                            ends[rest] = token = longest(rest, 0)
-                else:
-                    if not out:
-                        raise ValueError("a symbol is not in the vocabulary")
-                    dead = dead or set()
-                    dead.add(pos)
-                    token = out.pop()
-                    pos -= size[token]
-                    last = out[-1] if out else -1
-
-        def longest(s: str, at: int) -> int:
-            """The longest token that begins there; -1: none."""
-            for end, (n, token) in iter_long(s, at):
-                return token if end - n + 1 == at else -1
+                            ends[rest] = token = longest(rest)
+                    else:
+                        if not out:
+                            raise ValueError("a symbol is not in the vocabulary")
+                        dead.add(pos)
+                        token = out.pop()
+                        pos -= size[token]
+                        last = out[-1] if out else -1
+
+        def longest(s: str) -> int:
+            """The longest token that begins a text; -1: none."""
+            for end, (length, token) in iter_long(s):
+                return token if end + 1 == length else -1
             return -1
 
         return encode
@@ -290,7 +304,8 @@ class WordBpe(Bpe):
                         ids = b"".join(map(pack, encode(w + END)))
                     else:
                         ids = self._chunk(w) if w else b""
-                chunks[w] = ids
+                if len(w) <= KEY:
+                    chunks[w] = ids
             out.append(ids)
         if len(chunks) >= chunks.limit:
             chunks.age()
@@ -397,15 +412,16 @@ class ByteBpe(Bpe):
                 out.append(int(upto[bounds[k + 1]] - upto[bounds[k] + 1]) + (self.counts[first] if first else 0))
         return out
 
-    def boundaries(self, text: str) -> tuple[list[int], list[int]]:
-        """Where pieces end, and the tokens up to there."""
-        ends, tokens, at, n = [], [], 0, 0
-        for piece in self._pieces.findall(text):
-            at += len(piece)
-            n += self.counts[piece]
-            ends.append(at)
-            tokens.append(n)
-        return ends, tokens
+    def pieces(self, text: str) -> list[str]:
+        """The text cut where white space follows something else."""
+        return self._pieces.findall(text)
+
+    def tokens(self, text: str) -> list[tuple[str, list[int]]]:
+        """What the vocabulary's pattern cuts a text into, special strings too, each with its ids."""
+        out = []
+        for k, part in enumerate(self.split_special(text)):
+            out += [(part, [self.special[part]])] if k % 2 else [(w, self.encode_symbols(as_symbols(w))) for w in self._tokens.findall(part)]
+        return out
 
 
 @lru_cache(maxsize=4)

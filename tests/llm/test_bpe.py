@@ -1,5 +1,8 @@
+import base64
 import hashlib
+import random
 import struct
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -14,7 +17,6 @@ pytestmark = needs_vocabularies
 tokenizers = pytest.importorskip("tokenizers")
 
 
-
 def paths():
     return vocabulary("word_bpe_49k.json"), vocabulary("byte_bpe_50k.json")
 
@@ -67,6 +69,54 @@ def test_long_runs_take_linear_work(byte):
         assert token_counts.count_tokens(text, own) == len(library.encode(text, add_special_tokens=False).ids)
 
 
+UNSPACED = {
+    "Han": lambda rng, n: "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(n)),
+    "Thai": lambda rng, n: "".join(chr(rng.randrange(0x0E01, 0x0E2E)) for _ in range(n)),
+    "base64": lambda rng, n: base64.b64encode(rng.randbytes(n))[:n].decode(),
+    "blanks": lambda rng, n: " " * n,
+    "marks": lambda rng, n: "".join(rng.choice("'-!<|\\") for _ in range(n)),
+}
+
+
+@pytest.mark.parametrize("kind", UNSPACED)
+def test_unspaced_texts_equal_the_library_and_take_linear_time(byte, word, kind):
+    rng, took = random.Random(6), {}
+    for n in (20_000, 40_000, 80_000, 160_000, 320_000):
+        text = UNSPACED[kind](rng, n)
+        began = time.thread_time()
+        found = token_counts.count_tokens(text, byte[0])
+        took[n] = time.thread_time() - began
+        if n <= 80_000:
+            assert found == byte[0].count(text) == len(byte[1].encode(text, add_special_tokens=False).ids)
+            assert word[0].encode_batch([text])[0].tolist() == word[1].encode(text, add_special_tokens=False).ids
+    # 2.5 times for twice the length, with room for a busy machine
+    assert took[320_000] <= 2.5**4 * max(took[20_000], 0.01), took
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_splices_inside_runs_of_every_kind(byte, seed):
+    own, library = byte
+    rng, spliced = random.Random(seed), 0
+    parts = [lambda n: UNSPACED["Han"](rng, n), lambda n: UNSPACED["Thai"](rng, n), lambda n: UNSPACED["base64"](rng, n), lambda n: UNSPACED["marks"](rng, n), lambda n: " " * n, lambda n: "\n \t"[: n % 4], lambda n: "<|endoftext|>", lambda n: "7" * n, lambda n: "don't's" * (n % 5)]
+    for _ in range(150):
+        text = "".join(rng.choice(parts)(rng.randrange(1, 120)) for _ in range(12))
+        want = len(library.encode(text, add_special_tokens=False).ids)
+        for chunk, overlap in ((64, 20), (100, 32), (150, 17)):
+            assert token_counts.count_tokens(text, own, chunk, overlap) == want
+            if len(text) > chunk:
+                left, right = token_counts.Chunk(text, 0, chunk, own), token_counts.Chunk(text, chunk - overlap, min(len(text), 2 * chunk), own)
+                spliced += token_counts.splice(left, right) is not None
+    assert spliced > 150
+
+
+def test_caches_hold_no_long_pieces(byte, word):
+    rng = random.Random(2)
+    texts = [UNSPACED["Han"](rng, 4000) + " word" for _ in range(30)]
+    byte[0].count_batch(texts), word[0].encode_batch(texts)
+    for cache in (byte[0].counts, byte[0].spaced, word[0].chunks):
+        assert max(map(len, [*cache, *cache.old]), default=0) <= bpe.KEY
+
+
 def test_boundary_proof():
     assert token_counts.stable("ab cd", 2) and not token_counts.stable("ab cd", 3) and not token_counts.stable("ab", 2)
     assert not token_counts.stable("a\x1cb", 1)
