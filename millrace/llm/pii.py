@@ -2,7 +2,8 @@
 
 Kinds: ``email``, ``ip`` (parts at most 255), ``card`` (13 to 19 digits, Luhn), ``phone``
 (9 to 15 digits after a plus), ``iban`` (mod 97) and ``ssn`` (three, two and four digits with
-valid parts, only where a context word stands near). A kind's matches are the leftmost
+valid parts, only where a context word stands near). An account number ends at its country's
+length. A kind's matches are the leftmost
 non-overlapping ones; a match that its check refuses is dropped and not retried inside.
 
 All kinds but email consist of digits and ``( ) . + -`` and blanks, so one pass finds maximal
@@ -35,18 +36,29 @@ LOCAL = frozenset(string.ascii_letters + string.digits + "._%+-")
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "ssn")
 
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+IBAN_HEAD = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}")
+#: Characters of an account number, by length: the registry's countries.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE BI", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK",
+    21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ DZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR",
+    27: "BF CM DJ FR GR IT MC MG MR SM", 28: "AL AZ BY CY DO GT HN HU LB NE PL SN SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC NI", 33: "RU",
+}
+IBAN_LENGTH = {country: n for n, countries in IBAN_LENGTHS.items() for country in countries.split()}
 SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 RUN = re.compile(r"[0-9+][0-9 ().+-]*")
-#: Words near a span that speak for its kind, and how far near is.
+#: Whole words near a span that speak for its kind, and how far near is.
 CONTEXT = {
-    "email": ("mail", "contact", "write"),
-    "ip": ("ip", "host", "server", "address"),
-    "card": ("card", "visa", "credit", "payment"),
-    "phone": ("phone", "call", "tel", "mobile"),
-    "iban": ("iban", "account", "bank"),
-    "ssn": ("ssn", "social", "security"),
+    "email": "mail email emails contact write",
+    "ip": "ip host server address",
+    "card": "card cards visa mastercard credit payment",
+    "phone": "phone telephone call tel mobile cell fax",
+    "iban": "iban account bank",
+    "ssn": "ssn social security",
 }
+CONTEXT = {kind: frozenset(words.split()) for kind, words in CONTEXT.items()}
+LETTERS = re.compile(r"[^\W\d_]+")
 PRIOR = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.7, "iban": 0.9, "ssn": 0.3}
 NEAR, CONTEXT_GAIN, THRESHOLD = 40, 0.3, 0.5
 
@@ -63,6 +75,39 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
 
 
+def iban_end(text: str, begin: int) -> int:
+    """Where the account number ends that begins there, of its country's length, single blanks
+    between; -1 if there is none."""
+    left = IBAN_LENGTH.get(text[begin : begin + 2], 0)
+    if not left or not IBAN_HEAD.match(text, begin):
+        return -1
+    at, plain = begin, []
+    while left and at < len(text):
+        c = text[at]
+        if "0" <= c <= "9" or "A" <= c <= "Z":
+            plain.append(c)
+            left -= 1
+        elif c != " " or text[at - 1] == " ":
+            return -1
+        at += 1
+    ends = at == len(text) or not (text[at].isascii() and text[at].isalnum())
+    return at if not left and ends and mod97("".join(plain)) else -1
+
+
+def near_words(text: str, begin: int, end: int) -> set[str]:
+    """The whole words within ``NEAR`` characters of a span."""
+    low, high = max(0, begin - NEAR), min(len(text), end + NEAR)
+    before = [m[0] for m in LETTERS.finditer(text, low, begin) if m.start() > low or not low or not text[low - 1].isalpha()]
+    behind = [m[0] for m in LETTERS.finditer(text, end, high) if m.end() < high or high == len(text) or not text[high].isalpha()]
+    return {w.lower() for w in (*before, *behind)}
+
+
+def small(part: str) -> bool:
+    """Whether a part of an address is at most 255, leading zeros aside."""
+    part = part.lstrip("0")
+    return len(part) <= 3 and int(part or "0") <= 255
+
+
 def emails(text: str) -> list[tuple[int, int]]:
     out, floor, at = [], 0, text.find("@")
     while at >= 0:
@@ -91,7 +136,7 @@ def spans(text: str) -> list[tuple[str, int, int, float]]:
             if not (begin >= 2 and text[begin - 1].isupper() and text[begin - 2].isupper()):
                 continue
         for m in IP.finditer(text, begin, end):
-            if all(len(p) <= 1000 and int(p) <= 255 for p in m[0].split(".")):
+            if all(map(small, m[0].split("."))):
                 found["ip"].append(m.span())
         for m in CARD.finditer(text, begin, end):
             if 13 <= len(d := _digits(m[0])) <= 19 and luhn(d):
@@ -101,14 +146,13 @@ def spans(text: str) -> list[tuple[str, int, int, float]]:
                 found["phone"].append(m.span())
         found["ssn"] += [m.span() for m in SSN.finditer(text, begin, end)]
         if begin >= 2 and "A" <= text[begin - 1] <= "Z" and "A" <= text[begin - 2] <= "Z":
-            m = IBAN.match(text, begin - 2)
-            if m and 15 <= len(plain := m[0].replace(" ", "")) <= 34 and mod97(plain):
-                found["iban"].append(m.span())
+            close = iban_end(text, begin - 2)
+            if close >= 0 and (not found["iban"] or found["iban"][-1][1] <= begin - 2):
+                found["iban"].append((begin - 2, close))
     out = []
     for kind in KINDS:
         for begin, end in found[kind]:
-            near = f"{text[max(0, begin - NEAR):begin]} {text[end:end + NEAR]}".lower()
-            score = min(1.0, PRIOR[kind] + CONTEXT_GAIN * any(w in near for w in CONTEXT[kind]))
+            score = min(1.0, PRIOR[kind] + CONTEXT_GAIN * bool(CONTEXT[kind] & near_words(text, begin, end)))
             if kind in BASE or score >= THRESHOLD:
                 out.append((kind, begin, end, score))
     return out
@@ -131,7 +175,7 @@ def _row(text: str) -> tuple:
     counts = [sum(s[0] == k for s in all_spans) for k in BASE]
     listed = [f"{k}:{b}:{e}" for k, b, e, _ in all_spans]
     base = ",".join(listed[: sum(counts)])
-    return *counts, hashlib.sha256(base.encode()).hexdigest(), ",".join(listed)
+    return *counts, hashlib.sha256(base.encode()).hexdigest(), ",".join(listed), ",".join(f"{s:.2f}" for _, _, _, s in all_spans)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -144,7 +188,8 @@ def pii_spans(docs: DataFrame) -> DataFrame:
 
 
 def pii_report(docs: DataFrame) -> DataFrame:
-    return map_texts(_texts(docs), each(_row), "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    """``doc_id``, counts and digest of the base spans, all ``spans`` and their ``scores``, in step."""
+    return map_texts(_texts(docs), each(_row), "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, scores string")
 
 
 def redact(docs: DataFrame) -> DataFrame:

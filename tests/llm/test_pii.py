@@ -57,6 +57,39 @@ def test_checksums_and_context():
     assert near["phone"] > far["phone"]
 
 
+def test_an_account_number_ends_at_its_countrys_length():
+    for text in ("BE68 5390 0754 7034 BIC", "BE68539007547034 PAID", "BE68 5390 0754 7034 EUR 20", "to BE68 5390 0754 7034"):
+        assert [(k, t.replace(" ", "")) for k, t in kinds(text) if k == "iban"] == [("iban", "BE68539007547034")]
+    for text in ("BE68 5390 0754 70345", "BE68  5390 0754 7034", "XX68 5390 0754 7034", "ABE68539007547034", "BE68 5390 0754"):
+        assert "iban" not in dict(kinds(text))
+    assert max(pii.IBAN_LENGTH.values()) <= 34 and len(pii.IBAN_LENGTH) == sum(len(c.split()) for c in pii.IBAN_LENGTHS.values())
+
+
+def test_leading_zeros_of_any_number():
+    for n in (1, 999, 1000, 4000):
+        assert kinds("0" * n + "1.2.3.4") == base_texts("0" * n + "1.2.3.4") != []
+        assert "ip" not in dict(kinds("0" * n + "256.2.3.4"))
+    assert kinds("0" * 100_000 + "1.2.3.4") == [("ip", "0" * 100_000 + "1.2.3.4")]
+
+
+def base_texts(text):
+    return [(k, text[b:e]) for k, b, e in base(text)]
+
+
+def test_context_takes_whole_words_only():
+    for text, spoken in (("hotel +1 555 010 9999", False), ("tel +1 555 010 9999", True), ("a ship 10.0.0.1", False), ("IP: 10.0.0.1", True), ("10.0.0.1 is the host", True)):
+        (kind, _, _, score), *_ = pii.spans(text)
+        assert (score > pii.PRIOR[kind]) == spoken, text
+    # a word that the window's edge cuts is not whole
+    assert pii.spans("hos" + "tel " + "x" * 36 + " 10.0.0.1")[0][3] == pii.PRIOR["ip"]
+
+
+def test_scores_stand_beside_the_spans(spark):
+    docs = spark.createDataFrame([(1, "mail a@b.co or tel +1 555 010 9999")], "doc_id long, text string")
+    row = pii.pii_report(docs).first()
+    assert row["spans"] == "email:5:11,phone:19:34" and row["scores"] == "1.00,1.00"
+
+
 def test_redaction():
     assert pii.redacted("to a@b.co, card 4111 1111 1111 1111!") == "to [EMAIL], card [CARD]!"
     assert pii.redacted("nothing 12 here") == "nothing 12 here"
