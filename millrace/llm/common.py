@@ -130,6 +130,39 @@ def _nullable(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
 
 
+def hash_bounds(counts: dict, sample: int, spare: int = 2) -> dict:
+    """For each value with so many rows, the signed 64-bit hash below which some ``spare * sample``
+    of them lie; None: take all."""
+    return {value: None if n <= spare * sample else (spare * sample << 64) // n - (1 << 63) for value, n in counts.items()}
+
+
+def least_hashed(rows: DataFrame, by: str, counts: dict, sample: int, hashed: list[str], name: str) -> DataFrame:
+    """Of each value of ``by`` the ``sample`` rows with the least hashes of ``hashed``, all where it
+    has fewer, as a written table. ``counts``: rows of each value.
+
+    A bound on the hash, from the counts, lets through some twice as many; the least of those
+    are taken exactly. Where the bound let through too few (rows that repeat share a hash), it
+    is raised, so the sample is full for any number of rows.
+    """
+    h, spare = F.xxhash64(*hashed), 2
+    # first within a part of the rows, so that one hash that very many share is no single task
+    ranks = [F.row_number().over(Window.partitionBy(by, *part).orderBy("_h")) for part in (["_part"], [])]
+    while True:
+        bounds = hash_bounds(counts, sample, spare)
+        take = F.lit(False)
+        for value, bound in bounds.items():
+            take |= (F.col(by) == F.lit(value)) & (F.lit(True) if bound is None else F.col("_h") < F.lit(bound))
+        near = rows.withColumn("_h", h).where(take).withColumn("_part", F.pmod(F.spark_partition_id(), F.lit(256)))
+        for rank in ranks:
+            near = near.withColumn("_rank", rank).where(F.col("_rank") <= sample)
+        table = written(near.drop("_h", "_part", "_rank"), name)
+        found = {r[by]: r["n"] for r in table.groupBy(by).agg(F.count(F.lit(1)).alias("n")).collect()}
+        if all(bound is None or found.get(value, 0) >= sample for value, bound in bounds.items()):
+            return table
+        drop(table)
+        spare *= 64
+
+
 def sized(table: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """A written table with a broadcast hint if its counted rows fit in ``limit`` bytes; beyond
     that the join shuffles and AQE splits skewed keys."""

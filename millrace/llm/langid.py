@@ -11,8 +11,8 @@ The path is exact for texts of any length: words are cut into blocks whose (max,
 matrices are computed for all texts at once, a pass over block borders fixes the states
 there, and a second pass over the blocks fills in the path.
 
-Training takes at most about ``SAMPLE`` texts of each language, those with the least hashes
-of doc_id, from rows that are not held out; counts are gathered as numbers per bucket, never
+Training takes ``SAMPLE`` texts of each language (all where it has fewer), those with the least
+hashes of doc_id and text, from rows that are not held out; counts are gathered as numbers per bucket, never
 texts, so the model has ``BUCKETS`` numbers for each language.
 
 Results for odd input: a null text and one without a letter are ``und`` with score 0; a text
@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrow import map_texts
-from .common import columns_of, documents, row_of
+from .common import columns_of, documents, least_hashed, row_of
 
 SAMPLE, BUCKETS, SMOOTH, FLOOR, SWITCH, BLOCK = 3000, 1 << 16, 0.02, -5.0, 12.0, 32
 #: Bytes of text labelled at once.
@@ -193,10 +193,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     languages = [lang for lang, _ in found]
     if not languages:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros((len(SCRIPT_NAMES), 0), bool))
-    # a language's rows are taken by a hash, as many as its share of the bound lets
-    take = F.lit(False)
-    for lang, n in found:
-        take |= (F.col("lang") == lang) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, sample / n)))
+    taken = least_hashed(rows, "lang", dict(found), sample, ["doc_id", "text"], "language-sample")
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = {}
@@ -213,7 +210,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
             at = np.flatnonzero(both)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at), pa.array(both[at])], names=["lang", "at", "n"])
 
-    gathered = rows.where(take).select("lang", "text").mapInArrow(counts, "lang string, at long, n long").groupBy("lang", "at").agg(F.sum("n").alias("n")).toPandas()
+    gathered = taken.select("lang", "text").mapInArrow(counts, "lang string, at long, n long").groupBy("lang", "at").agg(F.sum("n").alias("n")).toPandas()
     n = np.zeros((BUCKETS + len(SCRIPT_NAMES), len(languages)))
     n[gathered["at"].to_numpy(), [languages.index(x) for x in gathered["lang"]]] = gathered["n"]
     grams, scripts = n[:BUCKETS], n[BUCKETS:]

@@ -1,5 +1,9 @@
+import itertools
+
 import numpy as np
+from pyspark.sql import functions as F
 
+from millrace.llm import common
 from millrace.llm import toxicity as tox
 
 from .data import SF, TEXTS, empty_documents, needs_tables, odd_documents
@@ -38,19 +42,160 @@ def test_scores_rank_as_they_should():
     assert score("") == score("hello") < 0.1
 
 
+def test_reported_speech_past_colons_and_around_quotations():
+    for text in ('he said: "you are an idiot"', 'he said: you are an idiot', '"you are an idiot", she said', "«you idiot» wrote the man", 'he said "one. you idiot. two"'):
+        assert clauses(text) == {"reported": 3.0}, text
+    for text in ('"you are an idiot". she left', '"you are an idiot" and then a little later she said', '"you idiot'):
+        assert clauses(text) == {"aimed insult": 3.0}, text
+    assert clauses("he said so. you idiot") == {"aimed insult": 3.0}
+    assert clauses('"you idiot"\nshe said nothing') == {"aimed insult": 3.0}
+
+
+def test_a_threat_strikes_a_target_near_behind_it():
+    assert clauses("I beat the drum for you") == {"threat": 1.0}
+    assert clauses("kill all of you") == {"aimed threat": 1.0}
+    assert clauses("don't hurt them") == {"negated": 1.0}
+    assert clauses("kill and burn you") == {"aimed threat": 2.0}
+
+
+def by_plain_rules(tags):
+    """The sums of a tag string, from the rules and not from the machines; every word weighs 1."""
+    sums = dict.fromkeys(tox.FEATURES, 0)
+    line = []
+    for t in [*tags, tox.LINE]:
+        if t != tox.LINE:
+            line.append(t)
+            continue
+        word = [x in tox.WORDS for x in line]
+        words_to = lambda i, j: sum(word[i + 1 : j + 1])  # noqa: E731, words behind i up to j
+        quotes, at = [], None  # begin, end, whether it is said, where the words behind it may end
+        said = [False] * (len(line) + 1)
+        now = False
+        for i, x in enumerate(line):
+            inside = quotes[-1] if at is not None else None
+            if x == tox.REPORT and not (inside and not inside[2]):
+                now = True
+            elif x == tox.STOP and not (inside and inside[2]):
+                now = False
+            elif x == tox.QUOTE:
+                if at is None:
+                    at = i
+                    quotes.append([i, len(line), now])
+                else:
+                    quotes[-1][1], at = i, None
+            said[i + 1] = now
+        for i, x in enumerate(line):
+            if x not in (tox.INSULT, tox.THREAT):
+                continue
+            ends = [j for j, y in enumerate(line) if y in (tox.STOP, tox.COLON)]
+            if any(line[j] == tox.NEGATION and words_to(j, i) <= 3 and not any(j < e < i for e in ends) for j in range(i)):
+                sums["negated"] += 1
+                continue
+            quote = next((q for q in quotes if q[0] < i < q[1]), None)
+            heard = said[i] or bool(quote and quote[2])
+            if quote and not quote[2] and quote[1] < len(line):
+                c = quote[1]
+                for r in range(c + 1, len(line)):
+                    if line[r] in (tox.STOP, tox.QUOTE) or words_to(c, r) > 3:
+                        break
+                    if line[r] == tox.REPORT:
+                        heard = True
+                        break
+            if heard:
+                sums["reported"] += 1
+                continue
+            cuts = [j for j, y in enumerate(line) if y in (tox.STOP, tox.COLON, tox.QUOTE)]
+            low = max((j for j in cuts if j < i), default=-1)
+            high = min((j for j in cuts if j > i), default=len(line))
+            if x == tox.INSULT:
+                aimed = tox.TARGET in line[low + 1 : high]
+            else:
+                aimed, last = False, i
+                for j in range(i + 1, high):
+                    if words_to(last, j) > 3:
+                        break
+                    if line[j] == tox.THREAT:
+                        last = j
+                    elif line[j] == tox.TARGET:
+                        aimed = not said[j]
+                        break
+            sums[("aimed " if aimed else "") + x] += 1
+        line = []
+    return sums
+
+
+def by_the_table(tags):
+    state, sums = 0, {}
+    for t in tags:
+        state, out = tox.GRAMMAR.arcs[state][t]
+        tox.apply(out, 1, sums)
+    tox.apply(tox.GRAMMAR.final[state], 0, sums)
+    assert set(k for k, v in sums.items() if v) <= set(tox.FEATURES)
+    return {k: sums.get(k, 0) for k in tox.FEATURES}
+
+
+def test_the_table_equals_plain_rules():
+    short = [tox.INSULT, tox.THREAT, tox.TARGET, tox.NEGATION, tox.REPORT, tox.OTHER, tox.QUOTE]
+    for n in range(7):
+        for tags in itertools.product(short, repeat=n):
+            if n < 6 or tox.INSULT in tags or tox.THREAT in tags:
+                assert by_the_table(tags) == by_plain_rules(tags), tags
+    for n in range(5):
+        for tags in itertools.product(tox.TAGS, repeat=n):
+            assert by_the_table(tags) == by_plain_rules(tags), tags
+    rng = np.random.default_rng(2)
+    for _ in range(20_000):
+        tags = [tox.TAGS[i] for i in rng.integers(0, len(tox.TAGS), rng.integers(5, 16))]
+        assert by_the_table(tags) == by_plain_rules(tags), tags
+
+
 def test_composition_equals_running_one_after_the_other():
-    a, b, rng = tox.scope(), tox.clause(), np.random.default_rng(2)
-    for _ in range(200):
-        tags = [tox.TAGS[i] for i in rng.integers(0, len(tox.TAGS), rng.integers(0, 9))]
-        p, q, r, one, two = a.start, b.start, tox.GRAMMAR.start, (), ()
+    rng = np.random.default_rng(2)
+    machines = [tox.insult(), tox.threat(), tox.negation(), tox.reported(), tox.target()]
+    for _ in range(300):
+        tags = [tox.TAGS[i] for i in rng.integers(0, len(tox.TAGS), rng.integers(0, 12))]
+        symbols, want = list(tags), []
+        for m in machines:
+            state, out = m.start, []
+            for x in symbols:
+                if x[0] in ("add", "move"):
+                    out.append(x)
+                else:
+                    state, made = m.step(state, x)
+                    out += made
+            symbols = out + list(m.final(state))
+        want = symbols
+        state, got = 0, []
         for t in tags:
-            p, marks = a.arcs[p, t]
-            for m in marks:
-                q, out = b.arcs[q, m]
-                one += out
-            r, out = tox.GRAMMAR.arcs[r, t]
-            two += out
-        assert one + b.final[q] == two + tox.GRAMMAR.final[r]
+            state, out = tox.GRAMMAR.arcs[state][t]
+            got += out
+        assert got + list(tox.GRAMMAR.final[state]) == want
+
+
+def test_threat_weights_and_the_bound_of_chance_are_learned_from_the_sample(spark):
+    odd = lambda i: " ".join(f"{chr(97 + (i * k) % 26)}{chr(97 + i % 23)}{chr(97 + k)}" for k in range(1, 9))
+    rows = [(1, f"kill {odd(i)}") for i in range(30)] + [(0, f"word {odd(i)}") for i in range(30, 330)]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, (y, _) in enumerate(rows)], "doc_id long, toxic int")
+    model = tox.train(docs, labels)
+    assert model.threats["kill"] > tox.THREAT_WEIGHT and model.threats["burn"] == tox.THREAT_WEIGHT and "kill" not in model.insults
+
+
+def test_a_sample_is_full_for_any_number_of_rows(spark):
+    for n in (10**4, 10**10, 4 * 10**18):
+        bound = common.hash_bounds({"x": n}, 3000)["x"]
+        share = (bound + 2**63) / 2**64
+        assert abs(share * n / 6000 - 1) < 0.001
+    assert common.hash_bounds({"x": 6000}, 3000) == {"x": None}
+    rows = spark.range(20_000).select("id", F.when(F.col("id") % 5 == 0, "a").otherwise("b").alias("c"), F.lit(1).alias("same"))
+    counts = {"a": 4000, "b": 16_000}
+    got = common.least_hashed(rows, "c", counts, 50, ["id"], "t").collect()
+    want = rows.withColumn("h", F.xxhash64("id")).collect()
+    for c in "ab":
+        assert {r["id"] for r in got if r["c"] == c} == {r["id"] for r in sorted((r for r in want if r["c"] == c), key=lambda r: r["h"])[:50]}
+    # rows that all share a hash, and counts that are far too high
+    assert common.least_hashed(rows, "c", counts, 50, ["same"], "t").count() == 100
+    assert common.least_hashed(rows, "c", {k: 10**10 for k in counts}, 50, ["id"], "t").count() == 100
 
 
 def labelled(spark):
