@@ -34,6 +34,8 @@ size and component; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from math import comb
+
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,9 +45,10 @@ from .arrow import each, map_texts
 from .bpe import Recent
 from .common import columns_of, connected_components, documents, drop, row_of, sized, written
 
-#: Coordinates and the collisions that a pair needs, by threshold in percent.
-K = 24
-T = {85: 12, 80: 10}
+#: Coordinates, and the probability with which a pair at the threshold may miss its collisions.
+K, MISS = 24, 1e-5
+#: Partners of one document that are compared in one place.
+PARTNERS = 1024
 #: Postings of a list from which some more documents, by a hash, are met first beside its most central one.
 LONG_LIST, MORE_PIVOTS = 32, 5
 #: Bits of the odd sketch, a multiple of 64.
@@ -53,6 +56,18 @@ ODD = 512
 _MASK = (1 << 64) - 1
 
 
+def needed(percent: int) -> int:
+    """The collisions asked of a pair: as many as one at the threshold falls short of with a
+    probability of ``MISS`` at most. At least one: below 39 percent that alone is missed more
+    often, with (1 - percent / 100) ** K."""
+    p, below = percent / 100, 0.0
+    for t in range(K + 1):
+        below += comb(K, t) * p**t * (1 - p) ** (K - t)
+        if below > MISS:
+            return max(1, t)
+    return K
+
+
 def _constants(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Odd multipliers and offsets of the hash functions, from a fixed seed."""
     rng = np.random.default_rng(20)
@@ -136,7 +151,8 @@ def postings(reps: DataFrame, t: int) -> DataFrame:
     two pairs with one key would only add candidates. ``weight`` sums the logarithms of the
     frequencies of its pairs: in a group of copies the least changed one has the most."""
     tokens = reps.select("id", F.posexplode("sig").alias("c", "v")).select("id", F.xxhash64("c", "v").alias("key"))
-    shared = tokens.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    # a table of its own: right above an aggregation AQE could not split a value that very many share
+    shared = written(tokens.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "minhash-shared")
     known = tokens.join(shared, "key")
     ordered = known.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("keys"), F.sum(F.log("df")).alias("weight"))
     room = F.lit(K - t + 1) - (F.lit(K) - F.size("keys"))
@@ -150,10 +166,24 @@ def confirmed(pairs: DataFrame, reps: DataFrame, sets: DataFrame, t: int, percen
     sig_b = reps.select(F.col("id").alias("b"), F.col("sig").alias("sb"), F.col("n").alias("nb"))
     near = pairs.join(sig_a, "a").join(sig_b, "b").where(_collisions("sa", "sb") >= t)
     near = written(near.select("a", "b", "na", "nb"), "minhash-near")
-    set_a = sets.select(F.col("id").alias("a"), F.col("shingles").alias("xa"))
-    set_b = sets.select(F.col("id").alias("b"), F.col("shingles").alias("xb"))
-    both = near.join(set_a, "a").join(set_b, "b").withColumn("common", F.size(F.array_intersect("xa", "xb")))
-    return both.where(F.lit(100) * F.col("common") >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
+    # the end with more pairs is the hub: its set goes once to each block of its partners, and
+    # only the other end's goes with the pair
+    ends = near.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("deg")).where("deg > 1")
+    ends = written(ends, "minhash-degrees")
+    deg = lambda side: ends.select(F.col("id").alias(side), F.col("deg").alias(f"d{side}"))
+    sides = near.join(sized(deg("a"), 24), "a", "left").join(sized(deg("b"), 24), "b", "left")
+    more = F.coalesce("db", F.lit(1)) > F.coalesce("da", F.lit(1))
+    blocks = F.ceil(F.greatest(F.coalesce("da", F.lit(1)), F.coalesce("db", F.lit(1))) / F.lit(PARTNERS)).cast("int")
+    pairs = sides.select("a", "b", "na", "nb", F.when(more, F.col("b")).otherwise(F.col("a")).alias("hub"), F.when(more, F.col("a")).otherwise(F.col("b")).alias("leaf"), blocks.alias("blocks"))
+    pairs = pairs.withColumn("block", F.pmod(F.xxhash64("leaf"), F.col("blocks")).cast("int"))
+    leaves = pairs.join(sets.select(F.col("id").alias("leaf"), F.col("shingles").alias("xl")), "leaf")
+    hubs = written(pairs.select("hub", "block").distinct(), "minhash-hubs")
+    hubs = hubs.join(sets.select(F.col("id").alias("hub"), F.col("shingles").alias("xh")), "hub")
+    both = leaves.join(hubs, ["hub", "block"]).withColumn("common", F.size(F.array_intersect("xl", "xh")))
+    both = both.where(F.lit(100) * F.col("common") >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("common")))
+    found = written(both.select("a", "b"), "minhash-confirmed")
+    drop(near, ends)
+    return found
 
 
 def linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -165,7 +195,7 @@ def _grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """``doc_id, set_id, n_shingles, component_id, first_set``: a row's set, the least doc_id of
     its component, and of that one's sets in the component the least. A vertex is a set, since a
     doc_id may name several."""
-    t = T[percent]
+    t = needed(percent)
     sig = written(signatures(docs, words), "minhash-signatures")
     own = sig.where("n > 0 and doc_id is not null")
     reps = own.groupBy("set_id").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("odd").alias("odd"))
@@ -198,7 +228,7 @@ def _grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
     pivot = written(pivot, "minhash-pivots")  # a table of its own, so that AQE can split a long list
     stars = posted.join(pivot, (F.col("key") == F.col("_k")) & (F.col("id") != F.col("a")) & _close("n", "pn", "odd", "po", percent))
     stars = stars.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
-    links = written(confirmed(stars.distinct(), few, sets, t, percent), "minhash-links")
+    links = confirmed(stars.distinct(), few, sets, t, percent)
     label = written(connected_components(links), "minhash-label")
 
     known = posted.join(label.select(F.col("id").alias("_i"), "component"), F.col("id") == F.col("_i"), "left")
@@ -211,7 +241,7 @@ def _grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
     apart = (F.col("key") == F.col("_k")) & (F.col("comp") != F.col("_comp")) & ((F.col("comp") == F.col("big")) | (F.col("_id") < F.col("id")))
     apart &= _close("n", "_n", "odd", "_odd", percent)
     rest = mixed.join(small, apart).select(F.least("id", "_id").alias("a"), F.greatest("id", "_id").alias("b")).distinct()
-    more = written(confirmed(rest, few, sets, t, percent), "minhash-more")
+    more = confirmed(rest, few, sets, t, percent)
     if not more.isEmpty():
         # links between the components found so far
         named = label.select(F.col("id").alias("_i"), F.col("component").alias("_c"))

@@ -1,6 +1,9 @@
 import random
 
+from pyspark.sql import functions as F
+
 from millrace.llm import minhash
+from millrace.llm.common import written
 
 from .data import TEXTS, empty_documents, odd_documents
 from .test_common import union_find
@@ -45,6 +48,42 @@ def test_a_large_group_of_near_copies_with_stragglers_and_a_common_passage(spark
     check(spark, docs, 5, 80)
 
 
+def test_any_threshold(spark):
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(5000)}" for _ in range(120)]
+    docs = [(i, mutated(base, rng, rng.choice([0, 1, 2, 3, 4, 6]))) for i in range(40)]
+    check(spark, docs, 3, 90)
+    check(spark, docs, 3, 70)
+    assert [minhash.needed(p) for p in (85, 80)] == [12, 10]
+    assert all(1 <= minhash.needed(p) <= minhash.needed(p + 1) <= minhash.K for p in range(1, 100))
+
+
+def test_a_value_that_all_share_is_split(spark):
+    """One coordinate with one value for all documents: the join on it must not be one task."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2KB", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4KB"}
+    rows = spark.range(6000).select("id", F.lit(9).alias("n"), F.array(*[F.lit(0).cast("long") for _ in range(8)]).alias("odd"), F.array(F.lit(7).cast("long"), F.xxhash64("id")).alias("sig"))
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        counted = minhash.postings(written(rows.repartition(8), "reps"), 1).groupBy().count()
+        assert counted.first()[0] == 6000
+        counted = counted.select("count")
+        counted._jdf.collectToPython()
+        assert "skew=true" in counted._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_a_hub_meets_its_partners_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "PARTNERS", 4)
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(5000)}" for _ in range(100)]
+    docs = [(0, " ".join(base))] + [(i, mutated(base, rng, 3)) for i in range(1, 60)]
+    check(spark, docs, 3, 85)
+
+
 def test_short_texts_and_chains(spark):
     words = [f"c{i}" for i in range(60)]
     chain = [(i, " ".join(words[i : i + 40])) for i in range(12)]
