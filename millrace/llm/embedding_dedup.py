@@ -1,15 +1,22 @@
 """Near-duplicate vectors by random-hyperplane sign hashing.
 
 Vectors with one label are compared. Equal vectors are one entry with a multiplicity. Each
-of ``TABLES`` tables hashes a vector to the signs of ``BITS`` random projections; vectors in
-one bucket (label, table, signs) are compared exactly, in double precision. A bucket is cut
-into blocks of bounded size and a pair of blocks is a unit of work: they are multiplied, a
-pair counts only in the first table where its two vectors share a bucket, and what comes out
-is one row per vector (links counted there) and a spanning forest of the links, never the
-pairs themselves. So a task's output grows with the vectors and not with their square.
-
-A pair with a cosine of 0.93 agrees in one sign with probability 0.88, in all eight with
-0.36 and in at least one of 24 tables with 0.99998; closer pairs more often.
+table hashes a vector to the signs of some random projections; vectors in one bucket (label,
+table, signs) are compared exactly, in double precision. The number of signs follows the
+logarithm of the label's entries, so a bucket holds some ``BUCKET`` unrelated vectors at any
+size, and the number of tables follows from the signs: as many as leave a pair at the threshold
+unmet with a probability of ``MISS`` at most; closer pairs are missed less often. At 0.93 a pair
+agrees in one sign with probability 0.88, so signs that grow with log2 n ask for about n ** 0.18
+tables, and shuffled bytes and products grow with n ** 1.18.
+
+A large bucket holds vectors that really are close. First its entries meet a few of their own
+number. Entries within half the threshold's angle of one of these are a *cluster*: any two of
+them are within the whole angle, so they are linked and counted without a product. What is left
+of large buckets is cut into blocks of bounded size, those of a cluster apart; a pair of blocks
+that are not of one cluster is a unit of work. Its blocks are multiplied, a pair counts only in
+the first table where its two vectors share a bucket, and what comes out is one row per vector
+(links counted there) and a spanning forest of the links, never the pairs themselves. So a
+task's output grows with the vectors and not with their square.
 
 Results for odd input: vectors that are null, empty, zero or hold null or non-finite
 components, and those without a label or an id, link with nothing; vectors of different
@@ -19,18 +26,25 @@ an empty table gives an empty result. Other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import connected_components, documents, sized, written
 
-TABLES, BITS, THRESHOLD, SEED = 24, 8, 0.93, 11
-#: Vectors in a block: two blocks of 64 numbers and their products stay below 10 MB.
-BLOCK = 512
+THRESHOLD, SEED = 0.93, 11
+#: Unrelated vectors in a bucket, the chance of missing a pair at the threshold, and bounds of the signs.
+BUCKET, MISS, LEAST_BITS, MOST_BITS = 128, 1e-4, 4, 24
+#: Vectors in a block, and how many of them are multiplied at once.
+BLOCK, STRIP = 2048, 512
+#: Entries of a large bucket that the others meet first.
+PIVOTS = 8
 #: Columns that name a unit of work: what is compared, where, and the two blocks.
 UNIT = ("label", "dim", "t", "s", "x", "y")
 
@@ -45,11 +59,25 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
+def tables_for(bits: int, threshold: float = THRESHOLD, miss: float = MISS) -> int:
+    """Tables after which a pair at the threshold is unmet with a probability of ``miss`` at most."""
+    agree = (1 - math.acos(threshold) / math.pi) ** bits
+    return max(1, math.ceil(math.log(miss) / math.log1p(-agree))) if agree < 1 else 1
+
+
+def bits_for(n: Column) -> Column:
+    """Signs for a label with n entries."""
+    return F.greatest(F.lit(LEAST_BITS), F.least(F.lit(MOST_BITS), F.round(F.log2(n / F.lit(BUCKET))).cast("int")))
+
+
+@lru_cache(maxsize=8)
+def _planes(dim: int, tables: int, bits: int) -> np.ndarray:
+    return np.random.default_rng([SEED, dim]).standard_normal((dim, tables * bits))
+
+
 def sign_hashes(vectors: np.ndarray, tables: int, bits: int) -> np.ndarray:
-    """(vectors, tables): each table's signs as one number. The planes follow the dimension alone."""
-    dim = vectors.shape[1]
-    planes = np.random.default_rng([SEED, dim]).standard_normal((dim, tables * bits))
-    bit = (_units(vectors) @ planes >= 0).reshape(len(vectors), tables, bits)
+    """(vectors, tables): each table's signs as one number. The planes follow the shape alone."""
+    bit = (_units(vectors) @ _planes(vectors.shape[1], tables, bits) >= 0).reshape(len(vectors), tables, bits)
     return (bit @ (1 << np.arange(bits))).astype(np.int32)
 
 
@@ -81,9 +109,13 @@ def compare(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
         if not len(left) or not len(right):
             return
         unit_vectors = _units(_matrix(rows["v"], dim))
-        hit = unit_vectors[left] @ unit_vectors[right].T >= threshold
+        a, b = unit_vectors[left], unit_vectors[right].T
+        hit = np.concatenate([a[i : i + STRIP] @ b >= threshold for i in range(0, len(a), STRIP)])
         if x == y:
             np.fill_diagonal(hit, False)
+        of = rows["cluster"].to_numpy()
+        if (of >= 0).any():  # linked and counted already
+            hit &= (of[left][:, None] != of[right][None, :]) | (of[left] < 0)[:, None]
         if table and hit.any():
             signs = _matrix(rows["signs"], len(rows["signs"][0]))
             for t in range(table):
@@ -141,7 +173,38 @@ def comparable(embedding: Column) -> Column:
     return F.coalesce(embedding.isNotNull() & (F.size(embedding) > 0) & finite & F.exists(embedding, lambda x: x != 0), F.lit(False))
 
 
-def similar(rows: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES, bits: int = BITS, block: int = BLOCK) -> DataFrame:
+def clusters(hashed: DataFrame, large: DataFrame, threshold: float, least: float) -> DataFrame | None:
+    """``id, cluster`` of entries in large buckets of the first table that are within half the
+    threshold's angle of one of the bucket's pivots, a few of its entries chosen by a hash; any
+    two of one cluster are linked. Clusters of fewer than ``least`` are left out."""
+    first = large.where("t = 0").select("label", "dim", "s")
+    if first.isEmpty():
+        return None
+    inside = hashed.select("id", "label", "dim", F.col("signs")[0].alias("s"), "v").join(sized(first, 60), ["label", "dim", "s"])
+    near = [F.min_by(F.struct("id", "v"), F.xxhash64("id", F.lit(r))).alias(f"p{r}") for r in range(PIVOTS)]
+    pivots = inside.groupBy("label", "dim", "s").agg(*near).select("label", "dim", "s", F.array_distinct(F.array(*[f"p{r}" for r in range(PIVOTS)])).alias("pivots"))
+    pivots = written(pivots, "vector-pivots")
+    half = math.cos(math.acos(threshold) / 2 - 1e-9)
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, found = [], []
+            for row in batch.to_pylist():
+                towards = _units(np.array([p["v"] for p in row["pivots"]])) @ _units(np.array([row["v"]]))[0]
+                best = int(towards.argmax())
+                if towards[best] >= half:
+                    ids.append(row["id"])
+                    found.append(row["pivots"][best]["id"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.int64())], names=["id", "cluster"])
+
+    meeting = inside.join(pivots, ["label", "dim", "s"]).select("id", "v", "pivots")
+    found = written(meeting.mapInArrow(met, "id long, cluster long"), "vector-near-pivots")
+    many = found.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select(F.col("cluster").alias("_c"))
+    found = written(found.join(sized(written(many, "vector-many"), 16), F.col("cluster") == F.col("_c")).drop("_c"), "vector-clusters")
+    return None if found.isEmpty() else found
+
+
+def similar(rows: DataFrame, threshold: float = THRESHOLD, miss: float = MISS, block: int = BLOCK) -> DataFrame:
     """``vec_id, n_links, component_id, kept``: one row per vector."""
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").alias("v"))
     can = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & comparable(F.col("v"))
@@ -152,29 +215,56 @@ def similar(rows: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES,
 
     def posts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            dims = batch["dim"].to_numpy()
-            for dim in np.unique(dims).tolist():
-                part = batch.filter(pa.array(dims == dim))
+            kinds = np.stack([batch["dim"].to_numpy(), batch["bits"].to_numpy()])
+            for dim, bits in np.unique(kinds, axis=1).T.tolist():
+                part = batch.filter(pa.array((kinds == [[dim], [bits]]).all(axis=0)))
+                tables = tables_for(bits, threshold, miss)
                 signs = sign_hashes(_matrix(part["v"], dim), tables, bits)
                 lists = pa.FixedSizeListArray.from_arrays(pa.array(signs.ravel(), pa.int32()), tables).cast(pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([part["id"], part["label"], part["dim"], part["copies"], part["v"], lists], names=["id", "label", "dim", "copies", "v", "signs"])
 
     element = entries.schema["v"].dataType.simpleString()
     schema = f"id long, label string, dim int, copies long, v {element}, signs array<int>"
-    hashed = written(entries.select("id", "label", "dim", "copies", "v").mapInArrow(posts, schema), "vector-signs")
-    buckets = hashed.select("label", "dim", F.posexplode("signs").alias("t", "s"))
-    many = buckets.groupBy("label", "dim", "t", "s").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    many = written(many.withColumn("blocks", F.ceil(F.col("m") / F.lit(block)).cast("int")), "vector-buckets")
-    posted = hashed.select("id", "label", "dim", "copies", "v", "signs", F.posexplode("signs").alias("t", "s"))
-    member = posted.join(sized(many.drop("m"), 60), ["label", "dim", "t", "s"])
-    # a vector meets each block of its bucket; the two blocks name the unit
-    paired = member.withColumn("own", F.pmod(F.xxhash64("id", "t"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    paired = paired.select("label", "dim", "t", "s", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "copies", "v", "signs")
+    held = written(entries.groupBy("label", "dim").agg(bits_for(F.count(F.lit(1))).alias("bits")), "vector-labels")
+    hashed = entries.select("id", "label", "dim", "copies", "v").join(sized(held, 60), ["label", "dim"])
+    hashed = written(hashed.select("id", "label", "dim", "copies", "v", "bits").mapInArrow(posts, schema), "vector-signs")
+    place = ["label", "dim", "t", "s"]
+    posted = hashed.select("id", "label", "dim", F.posexplode("signs").alias("t", "s"))
+    large = written(posted.groupBy(*place).agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > block), "vector-large")
+    cluster = clusters(hashed, large, threshold, block / PIVOTS)
+    if cluster is None:
+        cluster = hashed.select("id", F.lit(None).cast("long").alias("cluster")).limit(0)
+    named = hashed.select("id", "label", "dim", "copies", "v", "signs", F.posexplode("signs").alias("t", "s"))
+    named = named.join(sized(cluster, 16), "id", "left").withColumn("cluster", F.coalesce("cluster", F.lit(-1)))
+    if large.isEmpty():
+        paired = named.withColumns({"own": F.lit(0), "other": F.lit(0)})
+    else:
+        # parts of a large bucket: each cluster with many entries there, and the rest; each has its own blocks
+        big = large.drop("m").select(*[F.col(c).alias(f"_{c}") for c in place])
+        here = [F.col(c) == F.col(f"_{c}") for c in place]
+        parts = posted.join(sized(big, 60), here).join(sized(cluster, 16), "id", "left").groupBy(*big.columns, "cluster").agg(F.count(F.lit(1)).alias("m"))
+        parts = parts.withColumn("cluster", F.when(F.col("m") >= block / PIVOTS, F.col("cluster"))).groupBy(*big.columns, "cluster").agg(F.sum("m").alias("m"))
+        before = Window.partitionBy(*big.columns).orderBy(F.col("cluster").asc_nulls_first())
+        parts = parts.withColumn("blocks", F.ceil(F.col("m") / F.lit(block)).cast("int")).withColumn("begin", (F.sum("blocks").over(before) - F.col("blocks")).cast("int"))
+        parts = parts.groupBy(*big.columns).agg(F.sum("blocks").cast("int").alias("total"), F.collect_list(F.struct("cluster", "begin", "blocks")).alias("parts"))
+        parts = written(parts, "vector-blocks")
+        named = named.join(sized(parts, 60 + 16 * PIVOTS), here, "left")
+        mine = F.coalesce(F.try_element_at(F.filter("parts", lambda x: x["cluster"] == F.col("cluster")), F.lit(1)), F.try_element_at(F.filter("parts", lambda x: x["cluster"].isNull()), F.lit(1)))
+        begin, blocks = F.coalesce("part.begin", F.lit(0)), F.coalesce("part.blocks", F.lit(1))
+        # a vector meets each block of its bucket but those of its own cluster; the two blocks name the unit
+        met = F.sequence(F.lit(0), F.coalesce("total", F.lit(1)) - 1)
+        met = F.when(F.col("part.cluster").isNull(), met).otherwise(F.filter(met, lambda x: (x < begin) | (x >= begin + blocks)))
+        paired = named.withColumn("part", mine).withColumn("own", (begin + F.pmod(F.xxhash64("id", "t"), blocks)).cast("int")).withColumn("other", F.explode(met))
+    paired = paired.select("label", "dim", "t", "s", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "copies", "cluster", "v", "signs")
     units = paired.repartition(*UNIT).sortWithinPartitions(*UNIT)
     found = written(units.mapInArrow(lambda batches: compare(batches, threshold), "id long, n long, other long"), "vector-links")
 
-    counts = found.groupBy(F.col("id").alias("_i")).agg(F.sum("n").alias("links"))
-    edges = found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b"))
+    # what is linked by its cluster alone
+    of = cluster.join(entries.select("id", "copies"), "id")
+    total = written(of.groupBy("cluster").agg(F.sum("copies").alias("all")), "vector-cluster-sizes")
+    close = of.join(total, "cluster").select("id", (F.col("all") - F.col("copies")).alias("n"), F.lit(None).cast("long").alias("other"))
+    counts = found.unionByName(close).groupBy(F.col("id").alias("_i")).agg(F.sum("n").alias("links"))
+    edges = found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")).union(cluster.select("id", "cluster"))
     names = entries.select(F.col("id").alias("_e"), F.col("vec_id").alias("_v"))
     edges = edges.join(names, F.col("a") == F.col("_e")).select(F.col("_v").alias("a"), "b").join(names, F.col("b") == F.col("_e")).select("a", F.col("_v").alias("b"))
     label = connected_components(edges)

@@ -47,6 +47,27 @@ def test_groups_against_brute_force_in_small_blocks(spark):
     check(spark, rows)
 
 
+def test_clusters_are_linked_and_counted_without_products(spark):
+    rng = np.random.default_rng(5)
+    centre, other = rng.normal(size=24), rng.normal(size=24)
+    rows = [(i, [float(x) for x in centre + rng.normal(size=24) * rng.choice([0.02, 0.05, 0.2, 0.35])], 1) for i in range(220)]
+    rows += [(300 + i, [float(x) for x in other + rng.normal(size=24) * 0.03], 1) for i in range(150)]
+    rows += [(600 + i, [float(x) for x in (centre + other) / 2 + rng.normal(size=24) * 0.3], 1) for i in range(60)]
+    rows += [(700 + i, rows[3][1], 1) for i in range(9)] + [(800 + i, rows[300][1], 2) for i in range(3)]
+    rows += [(900 + i, [float(x) for x in rng.normal(size=24)], 1) for i in range(80)]
+    for block in (8, 24):
+        check(spark, rows, block=block)
+
+
+def test_tables_grow_slowly_and_leave_out_few():
+    for bits in range(1, 25):
+        agree = (1 - np.arccos(0.93) / np.pi) ** bits
+        assert (1 - agree) ** ed.tables_for(bits) <= ed.MISS < (1 - agree) ** (ed.tables_for(bits) - 1)
+    # sixteen times the vectors: less than twice the tables from a million on
+    assert ed.tables_for(18) < 2 * ed.tables_for(14)
+    assert ed.tables_for(8, threshold=1.0) == 1
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0], 1), (2, [1.0, 0.0], 1), (3, [1.0, 0.01], 1), (4, [1.0, 0.0], 2), (5, [1.0, 0.0], None), (6, None, 1), (7, [], 1), (8, [0.0, 0.0], 1), (9, [1.0, nan], 1), (10, [inf, 1.0], 1), (11, [1.0, None], 1), (12, [1.0, 0.0, 0.0], 1), (13, [-1.0, 0.0], 1), (None, [1.0, 0.0], 1), (14, [1e-30, 0.0], 1), (15, [3e38, 3e36], 1)]
