@@ -163,10 +163,26 @@ def least_hashed(rows: DataFrame, by: str, counts: dict, sample: int, hashed: li
         spare *= 64
 
 
-def sized(table: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """A written table with a broadcast hint if its counted rows fit in ``limit`` bytes; beyond
-    that the join shuffles and AQE splits skewed keys."""
-    return F.broadcast(table) if table.count() * row_bytes <= limit else table
+def memory_bytes(table: DataFrame) -> int:
+    """An upper estimate of what the rows of a table take as the hash table of a broadcast join:
+    counted rows and counted bytes of texts and lists."""
+    var = F.lit(0).cast("long")
+    for f in table.schema.fields:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            var += F.coalesce(F.octet_length(quoted(f.name)), F.lit(0))
+        elif isinstance(f.dataType, T.ArrayType):
+            var += F.greatest(F.lit(0), F.coalesce(F.size(quoted(f.name)), F.lit(0))) * 64
+        elif isinstance(f.dataType, T.StructType):
+            var += F.lit(64 + 16 * len(f.dataType.fields))
+    n, more = table.agg(F.count(F.lit(1)), F.sum(var)).first()
+    # a row and its key, each with a header and eight bytes a column, and an entry that points there
+    return n * (64 + 16 * len(table.schema.fields)) + 2 * (more or 0)
+
+
+def sized(table: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """A written table with a broadcast hint if what was counted of it fits in ``limit`` bytes;
+    beyond that the join shuffles and AQE splits skewed keys."""
+    return F.broadcast(table) if memory_bytes(table) <= limit else table
 
 
 def gapless_rank(df: DataFrame, keys: list[str], order: list[Column], salt: Column, out: str, salts: int | None = None) -> DataFrame:

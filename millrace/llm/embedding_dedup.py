@@ -180,7 +180,7 @@ def clusters(hashed: DataFrame, large: DataFrame, threshold: float, least: float
     first = large.where("t = 0").select("label", "dim", "s")
     if first.isEmpty():
         return None
-    inside = hashed.select("id", "label", "dim", F.col("signs")[0].alias("s"), "v").join(sized(first, 60), ["label", "dim", "s"])
+    inside = hashed.select("id", "label", "dim", F.col("signs")[0].alias("s"), "v").join(sized(first), ["label", "dim", "s"])
     near = [F.min_by(F.struct("id", "v"), F.xxhash64("id", F.lit(r))).alias(f"p{r}") for r in range(PIVOTS)]
     pivots = inside.groupBy("label", "dim", "s").agg(*near).select("label", "dim", "s", F.array_distinct(F.array(*[f"p{r}" for r in range(PIVOTS)])).alias("pivots"))
     pivots = written(pivots, "vector-pivots")
@@ -200,7 +200,7 @@ def clusters(hashed: DataFrame, large: DataFrame, threshold: float, least: float
     meeting = inside.join(pivots, ["label", "dim", "s"]).select("id", "v", "pivots")
     found = written(meeting.mapInArrow(met, "id long, cluster long"), "vector-near-pivots")
     many = found.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select(F.col("cluster").alias("_c"))
-    found = written(found.join(sized(written(many, "vector-many"), 16), F.col("cluster") == F.col("_c")).drop("_c"), "vector-clusters")
+    found = written(found.join(sized(written(many, "vector-many")), F.col("cluster") == F.col("_c")).drop("_c"), "vector-clusters")
     return None if found.isEmpty() else found
 
 
@@ -226,7 +226,7 @@ def similar(rows: DataFrame, threshold: float = THRESHOLD, miss: float = MISS, b
     element = entries.schema["v"].dataType.simpleString()
     schema = f"id long, label string, dim int, copies long, v {element}, signs array<int>"
     held = written(entries.groupBy("label", "dim").agg(bits_for(F.count(F.lit(1))).alias("bits")), "vector-labels")
-    hashed = entries.select("id", "label", "dim", "copies", "v").join(sized(held, 60), ["label", "dim"])
+    hashed = entries.select("id", "label", "dim", "copies", "v").join(sized(held), ["label", "dim"])
     hashed = written(hashed.select("id", "label", "dim", "copies", "v", "bits").mapInArrow(posts, schema), "vector-signs")
     place = ["label", "dim", "t", "s"]
     posted = hashed.select("id", "label", "dim", F.posexplode("signs").alias("t", "s"))
@@ -235,20 +235,20 @@ def similar(rows: DataFrame, threshold: float = THRESHOLD, miss: float = MISS, b
     if cluster is None:
         cluster = hashed.select("id", F.lit(None).cast("long").alias("cluster")).limit(0)
     named = hashed.select("id", "label", "dim", "copies", "v", "signs", F.posexplode("signs").alias("t", "s"))
-    named = named.join(sized(cluster, 16), "id", "left").withColumn("cluster", F.coalesce("cluster", F.lit(-1)))
+    named = named.join(sized(cluster), "id", "left").withColumn("cluster", F.coalesce("cluster", F.lit(-1)))
     if large.isEmpty():
         paired = named.withColumns({"own": F.lit(0), "other": F.lit(0)})
     else:
         # parts of a large bucket: each cluster with many entries there, and the rest; each has its own blocks
         big = large.drop("m").select(*[F.col(c).alias(f"_{c}") for c in place])
         here = [F.col(c) == F.col(f"_{c}") for c in place]
-        parts = posted.join(sized(big, 60), here).join(sized(cluster, 16), "id", "left").groupBy(*big.columns, "cluster").agg(F.count(F.lit(1)).alias("m"))
+        parts = posted.join(sized(big), here).join(sized(cluster), "id", "left").groupBy(*big.columns, "cluster").agg(F.count(F.lit(1)).alias("m"))
         parts = parts.withColumn("cluster", F.when(F.col("m") >= block / PIVOTS, F.col("cluster"))).groupBy(*big.columns, "cluster").agg(F.sum("m").alias("m"))
         before = Window.partitionBy(*big.columns).orderBy(F.col("cluster").asc_nulls_first())
         parts = parts.withColumn("blocks", F.ceil(F.col("m") / F.lit(block)).cast("int")).withColumn("begin", (F.sum("blocks").over(before) - F.col("blocks")).cast("int"))
         parts = parts.groupBy(*big.columns).agg(F.sum("blocks").cast("int").alias("total"), F.collect_list(F.struct("cluster", "begin", "blocks")).alias("parts"))
         parts = written(parts, "vector-blocks")
-        named = named.join(sized(parts, 60 + 16 * PIVOTS), here, "left")
+        named = named.join(sized(parts), here, "left")
         mine = F.coalesce(F.try_element_at(F.filter("parts", lambda x: x["cluster"] == F.col("cluster")), F.lit(1)), F.try_element_at(F.filter("parts", lambda x: x["cluster"].isNull()), F.lit(1)))
         begin, blocks = F.coalesce("part.begin", F.lit(0)), F.coalesce("part.blocks", F.lit(1))
         # a vector meets each block of its bucket but those of its own cluster; the two blocks name the unit

@@ -140,12 +140,12 @@ def dedup_report(docs: DataFrame, digest: Callable[[Column], Column] = sha256, f
     hit = hits.select(F.col("digest").alias("_d"), "keep_id", "keep_prior")
     texts = _bodies(docs).withColumn("digest", digest(F.col("body")).cast("string"))
     # the copies, read and hashed once; repeated bodies take little room in Parquet
-    suspects = written(texts.join(sized(hit, 120), F.col("digest") == F.col("_d")).drop("_d"), "dedup-suspects")
+    suspects = written(texts.join(sized(hit), F.col("digest") == F.col("_d")).drop("_d"), "dedup-suspects")
     stays = suspects.where((F.col("keep_prior") == -run) & F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("digest", "body")
     earlier = hits.where(F.col("keep_prior") != -run)
     if run and (bodies := _located(earlier)) is not None:
         wanted = earlier.select(F.col("digest").alias("_d"), F.col("keep_id").alias("_k"))
-        bodies = bodies.join(sized(wanted, 120), F.col("doc_id").eqNullSafe(F.col("_k")))
+        bodies = bodies.join(sized(wanted), F.col("doc_id").eqNullSafe(F.col("_k")))
         stays = stays.unionByName(bodies.withColumn("digest", digest(F.col("body")).cast("string")).where("digest = _d").select("digest", "body"))
     stays = stays.groupBy(F.col("digest").alias("_d")).agg(F.max("body").alias("kept_body"))
     stays = written(stays, "dedup-stays")  # a table of its own, so that AQE can split a hot digest in the join
@@ -195,7 +195,7 @@ def deduplicated(docs: DataFrame, folder: str | None = None) -> DataFrame:
     dropped = report.where(~F.col("kept") & ~twin).select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_sha"))
     dropped = written(dropped.distinct(), "dedup-dropped")
     rows = docs.select(row_of(docs), F.col("doc_id").cast("long").alias("id"), sha256(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("sha"))
-    rows = rows.join(sized(dropped, 150), F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("sha") == F.col("gone_sha")), "left_anti")
+    rows = rows.join(sized(dropped), F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("sha") == F.col("gone_sha")), "left_anti")
     if not report.where(~F.col("kept") & twin).isEmpty():
         rows = rows.dropDuplicates(["sha"])
     return rows.select(*columns_of(docs))

@@ -171,7 +171,7 @@ def confirmed(pairs: DataFrame, reps: DataFrame, sets: DataFrame, t: int, percen
     ends = near.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("deg")).where("deg > 1")
     ends = written(ends, "minhash-degrees")
     deg = lambda side: ends.select(F.col("id").alias(side), F.col("deg").alias(f"d{side}"))
-    sides = near.join(sized(deg("a"), 24), "a", "left").join(sized(deg("b"), 24), "b", "left")
+    sides = near.join(sized(deg("a")), "a", "left").join(sized(deg("b")), "b", "left")
     more = F.coalesce("db", F.lit(1)) > F.coalesce("da", F.lit(1))
     blocks = F.ceil(F.greatest(F.coalesce("da", F.lit(1)), F.coalesce("db", F.lit(1))) / F.lit(PARTNERS)).cast("int")
     pairs = sides.select("a", "b", "na", "nb", F.when(more, F.col("b")).otherwise(F.col("a")).alias("hub"), F.when(more, F.col("a")).otherwise(F.col("b")).alias("leaf"), blocks.alias("blocks"))
@@ -202,7 +202,7 @@ def _grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
     reps = written(reps.withColumn("id", F.monotonically_increasing_id()), "minhash-representatives")
     posted = written(postings(reps.select("id", "n", "sig", "odd"), t), "minhash-postings")
     active = written(posted.select("id").distinct(), "minhash-active")
-    few = reps.join(sized(active, 24), "id", "left_semi").select("id", "n", "sig", "set_id", "doc")
+    few = reps.join(sized(active), "id", "left_semi").select("id", "n", "sig", "set_id", "doc")
     few = written(few, "minhash-candidates")
 
     def setup():
@@ -215,9 +215,9 @@ def _grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
         return each(call)
 
     of = few.select(F.col("doc").alias("doc_id"))
-    wanted = _texts(docs).join(sized(of, 24), "doc_id", "left_semi")
+    wanted = _texts(docs).join(sized(of), "doc_id", "left_semi")
     sets = map_texts(wanted.select("text"), None, "set_id binary, shingles array<long>", setup=setup).dropDuplicates(["set_id"])
-    sets = written(sets.join(sized(few.select("set_id", "id"), 48), "set_id").select("id", "shingles"), "minhash-sets")
+    sets = written(sets.join(sized(few.select("set_id", "id")), "set_id").select("id", "shingles"), "minhash-sets")
 
     central = F.max(F.struct("weight", "id", "n", "odd"))
     others = [F.min(F.struct(F.xxhash64("id", F.lit(r)).alias("h"), "id", "n", "odd")) for r in range(MORE_PIVOTS)]
@@ -256,7 +256,7 @@ def _grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
     first = label.join(reps.select("id", "doc", "set_id"), "id").groupBy(F.col("component").alias("_c")).agg(F.min(F.struct("doc", "set_id")).alias("first"))
     first = written(first, "minhash-first")
     final = reps.select("set_id", "doc", "id").join(label.select(F.col("id").alias("_i"), "component"), F.col("id") == F.col("_i"), "left")
-    final = final.join(sized(first, 48), F.col("component") == F.col("_c"), "left")
+    final = final.join(sized(first), F.col("component") == F.col("_c"), "left")
     final = final.select(F.col("set_id").alias("_s"), F.coalesce("first.doc", "doc").alias("component_id"), F.coalesce("first.set_id", "set_id").alias("first_set"))
     out = sig.join(final, (F.col("set_id") == F.col("_s")) & F.col("doc_id").isNotNull(), "left")
     return out.select("doc_id", "set_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "first_set")
@@ -277,19 +277,19 @@ def without_near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> D
     partly = gone.where("not _all").select("_gone")
     # all columns in one struct, so that none of theirs clashes with ours
     packed = docs.select(row_of(docs, "text"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    rest = packed.join(sized(gone, 24), F.col("id") == F.col("_gone"), "left_anti").select(*columns_of(docs, text=F.col("text")))
+    rest = packed.join(sized(gone), F.col("id") == F.col("_gone"), "left_anti").select(*columns_of(docs, text=F.col("text")))
     if partly.isEmpty():
         return rest
-    pairs = rows.where("goes").join(sized(partly, 24), F.col("doc_id") == F.col("_gone"), "left_semi").select(F.col("doc_id").alias("_gone"), F.col("set_id").alias("_set")).distinct()
+    pairs = rows.where("goes").join(sized(partly), F.col("doc_id") == F.col("_gone"), "left_semi").select(F.col("doc_id").alias("_gone"), F.col("set_id").alias("_set")).distinct()
     pairs = written(pairs, "minhash-gone-sets")
 
     def setup():
         shingles = Shingler(words)
         return each(lambda text: (_digest(shingles(text)),))
 
-    apart = packed.join(sized(partly, 24), F.col("id") == F.col("_gone"), "left_semi")
+    apart = packed.join(sized(partly), F.col("id") == F.col("_gone"), "left_semi")
     apart = map_texts(apart, None, "_own binary", setup=setup, keep=True)
-    apart = apart.join(sized(pairs, 48), (F.col("id") == F.col("_gone")) & (F.col("_own") == F.col("_set")), "left_anti")
+    apart = apart.join(sized(pairs), (F.col("id") == F.col("_gone")) & (F.col("_own") == F.col("_set")), "left_anti")
     return rest.unionByName(apart.select(*columns_of(docs, text=F.col("text"))))
 
 

@@ -86,7 +86,7 @@ def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     ranked = gapless_rank(groups, ["class"], [F.col("bytes").desc(), F.col("key")], F.col("key"), "_rank")
     placed = ranked.join(table, (F.col("class") == F.col("_class")) & (F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_hi")))
     placed = written(placed.select(F.col("key").alias("_key"), F.col("shard").cast("int").alias("shard")), "shard-placed")
-    rows = written(rows.join(sized(placed, 40), F.col("key") == F.col("_key")).drop("_key"), "shard-dealt")
+    rows = written(rows.join(sized(placed), F.col("key") == F.col("_key")).drop("_key"), "shard-dealt")
     slotted = gapless_rank(rows, ["shard"], [F.col("doc_id"), F.col("key")], F.xxhash64("doc_id", "key"), "slot")
     return slotted.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 

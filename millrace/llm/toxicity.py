@@ -307,13 +307,13 @@ def sampled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     taken = least_hashed(rows, "toxic", n, sample, ["doc_id"], "toxicity-taken")
     ids = written(taken.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "toxicity-ids")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    found = written(texts.join(sized(ids, 24), "doc_id"), "toxicity-sample")
+    found = written(texts.join(sized(ids), "doc_id"), "toxicity-sample")
     # near copies share the least hash of their runs of five words, mostly; two such hashes name them
     words = found.select("doc_id", F.split(F.lower("text"), r"[^\p{L}]+").alias("w"))
     runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 4, F.lit(1))), lambda i: F.xxhash64(F.slice("w", i, 5)))
     keyed = words.withColumn("h", runs).select("doc_id", F.array_min("h").alias("a"), F.array_min(F.transform("h", lambda x: F.xxhash64(x))).alias("b"))
     one = keyed.groupBy("a").agg(F.min("doc_id").alias("doc_id"), F.min_by("b", "doc_id").alias("b")).groupBy("b").agg(F.min("doc_id").alias("doc_id"))
-    return found.join(sized(written(one.select("doc_id"), "toxicity-once"), 16), "doc_id", "left_semi")
+    return found.join(sized(written(one.select("doc_id"), "toxicity-once")), "doc_id", "left_semi")
 
 
 def lexicon(rows: DataFrame, alpha: float = ALPHA) -> tuple[dict[str, float], dict[str, float]]:
