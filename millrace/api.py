@@ -19,7 +19,7 @@ from millrace.sources.schema import PAYLOAD, exploded, flat
 from millrace.sources.settings import CAPS, DISCLAIMER, SECTORS, SNAPSHOT_KEY, STALE_AFTER_MS, Settings, preview_line
 from millrace.sources.snapshots import epoch_ms, payload_status, status_code, status_message
 from millrace.sources.store import Store
-from millrace.streaming.sync import refreshed
+from millrace.streaming.sync import refreshed, replaces
 
 DEFAULTS = Settings()
 
@@ -73,11 +73,16 @@ class Engine:
     def sync_published(self) -> tuple[bool, dict | None]:
         """Whether the cached snapshot changed, and it; only a strictly newer one replaces it."""
         fresh, cached = self.fetch_published(), self.get_brief()
-        if cached and cached["generatedAtEpochMs"] >= fresh["generatedAtEpochMs"]:
+        if not replaces(cached and cached["generatedAtEpochMs"], fresh["generatedAtEpochMs"]):
             return False, cached
         self.put(SNAPSHOT_KEY, fresh | {"seen": False})
         return True, self.get_brief()
 
+    def mark_seen(self) -> None:
+        cached = self.get_brief()
+        if cached and not cached.get("seen"):
+            self.put(SNAPSHOT_KEY, cached | {"seen": True})
+
     # tables of a snapshot
     def brief_table(self, snapshot: dict) -> DataFrame:
         text = json.dumps({"brief": snapshot["brief"]})

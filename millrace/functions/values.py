@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 DASH = "—"
 #: White space as ECMAScript trims and matches it, in a regular expression class.
-SPACE = r"[\s\u000B ﻿  -     　]"
+SPACE = r"[\s\u000B\u00A0\uFEFF\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 
 
 def known(x: Column) -> Column:

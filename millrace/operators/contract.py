@@ -81,3 +81,9 @@ def mistyped_numbers(text: Column) -> Column:
         return lambda c: F.coalesce(F.schema_of_variant(F.try_variant_get(c, f"$.{name}", "variant")) == "STRING", F.lit(False))
 
     return F.array_compact(F.array(*[F.when(F.exists(candidates, is_text(name)), F.lit(name)) for name in NUMBERS]))
+
+
+def payload_violations(text: Column) -> Column:
+    """Names of the rules that a raw payload breaks as a whole: its time, and numbers sent as text."""
+    stamp = F.when(~valid_generated_at(F.get_json_object(text, "$.generatedAt")), F.lit("generatedAt"))
+    return F.concat(F.array_compact(F.array(stamp)), mistyped_numbers(text))

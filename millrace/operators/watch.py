@@ -58,7 +58,12 @@ def watched_candidates(candidates: DataFrame, user: DataFrame) -> DataFrame:
     return candidates.join(own, upper_ticker(F.col("ticker")) == F.col("_t"), "left_semi")
 
 
-def watch_hit(deep: DataFrame, candidates: DataFrame, user: DataFrame, threshold: float) -> DataFrame:
-    """The first of deep list and watched candidates whose drop is known and large enough: one row or none."""
+def watch_hit(deep: DataFrame, candidates: DataFrame, user: DataFrame, threshold: float, by: str | None = None) -> DataFrame:
+    """The first of deep list and watched candidates whose drop is known and large enough: one row or
+    none; with ``by``, for each snapshot."""
     both = deep.withColumn("src", F.lit(0)).unionByName(watched_candidates(candidates, user).withColumn("src", F.lit(1)), allowMissingColumns=True)
-    return both.where(is_hit(F.col("drop_pct"), threshold)).orderBy("src", "pos").limit(1)
+    hits = both.where(is_hit(F.col("drop_pct"), threshold))
+    if by is None:
+        return hits.orderBy("src", "pos").limit(1)
+    rest = [c for c in both.columns if c != by]
+    return hits.groupBy(by).agg(F.min_by(F.struct(*rest), F.struct("src", "pos")).alias("h")).select(by, "h.*")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .surrogate import DEEP, DEEP_TICKER, USER_LIST, candidates_sql
+from .surrogate import DEEP, DEEP_TICKER, SNAPSHOT, USER_LIST, WATCHED, candidates_sql
 
 CAND = candidates_sql()
 
@@ -48,8 +48,10 @@ ORACLES = {
     "screen_tight": _screen(TIGHT, 5),
     "screen_sector": _screen(SECTOR, 5),
     "screen_all": _screen(ALL, None),
-    "screen_array": f"{CAND} SELECT pos % 200 AS snapshot, row_number() OVER (PARTITION BY pos % 200 ORDER BY pos) - 1 AS rank, ticker, drop_pct FROM cand WHERE {TIGHT} QUALIFY rank < 5",
-    "screen_grouped": f"{CAND} SELECT pos % 200 AS snapshot, pos, ticker, drop_pct FROM cand WHERE {TIGHT} QUALIFY row_number() OVER (PARTITION BY pos % 200 ORDER BY pos) <= 5",
+    "screen_array": f"{CAND} SELECT {SNAPSHOT} AS snapshot, row_number() OVER (PARTITION BY {SNAPSHOT} ORDER BY pos) - 1 AS rank, ticker, drop_pct FROM cand WHERE {TIGHT} QUALIFY rank < 5",
+    "screen_grouped": f"{CAND} SELECT {SNAPSHOT} AS snapshot, pos, ticker, drop_pct FROM cand WHERE {TIGHT} QUALIFY row_number() OVER (PARTITION BY {SNAPSHOT} ORDER BY pos) <= 5",
+    "screen_null_array": f"{CAND} SELECT {SNAPSHOT} AS snapshot, CASE WHEN {SNAPSHOT} % 3 = 0 THEN 0 ELSE least(count(*) FILTER (WHERE {TIGHT}), 5) END AS shown FROM cand GROUP BY {SNAPSHOT}",
+    "screen_unknown_tier": _screen(DEFAULT, 5),
     "screen_stats": f"{CAND} SELECT count(*) AS total, least(count(*) FILTER (WHERE {TIGHT}), 5) AS shown, count(*) FILTER (WHERE fwd_pe IS NULL) AS missing_fwd_pe, count(*) FILTER (WHERE market_cap_usd IS NULL) AS missing_market_cap_usd, count(*) FILTER (WHERE coalesce(sector, '') = '') AS missing_sector FROM cand",
     "blind_spots": f"""{CAND} SELECT concat(least(count(*) FILTER (WHERE {ALL}), 5), ' of ', count(*), ' in today''s brief match') AS effect,
         concat(count(*) FILTER (WHERE fwd_pe IS NULL), ' with no P/E on file, ', count(*) FILTER (WHERE market_cap_usd IS NULL), ' with no market cap, ', count(*) FILTER (WHERE coalesce(sector, '') = ''), ' with no sector — those can''t be ruled out, so they stay.') AS gap FROM cand""",
@@ -57,7 +59,7 @@ ORACLES = {
         SELECT concat(shown, CASE WHEN shown = 1 THEN ' candidate' ELSE ' candidates' END) AS count_text, 'A quiet day.' AS note,
         CASE WHEN total > shown THEN concat('Screened ', total, ' · showing the ', shown, ' that match your settings') END AS screened_text,
         CASE WHEN shown = 0 THEN 'nothing' END AS nothing_text FROM n""",
-    "verdict_tally": f"""{CAND}, shown AS (SELECT lower(verdict) AS verdict FROM cand WHERE {DEFAULT} ORDER BY pos LIMIT 500),
+    "verdict_tally": f"""{CAND}, shown AS (SELECT lower(verdict) AS verdict FROM cand WHERE {DEFAULT}),
         kinds(rank, verdict, class, label) AS (VALUES (0, 'real bargain', 'bargain', 'real bargain'), (1, 'wait and see', 'wait', 'to watch'), (2, 'value trap', 'trap', 'value trap'))
         SELECT rank, verdict, class, label, count(*) AS n FROM kinds JOIN shown USING (verdict) GROUP BY ALL""",
     "range_position": f"""{CAND}, placed AS (SELECT pos, {_POSITION.format(x='price')} AS now, {_POSITION.format(x='prev_close')} AS prev FROM cand)
@@ -99,6 +101,27 @@ ORACLES = {
             WHEN 'not_published' THEN 'No brief has been published yet. The first one arrives after tomorrow morning''s run.' WHEN 'unreadable' THEN 'The published brief was unreadable. Your last one is unchanged.'
             WHEN 'http_error' THEN 'Couldn''t load the brief (HTTP 503).' END AS message,
         CASE status WHEN 'ok' THEN 200 WHEN 'not_published' THEN 404 WHEN 'http_error' THEN http ELSE 0 END AS code FROM r""",
+    "payload_parsed": """SELECT event_id, CASE WHEN event_id % 6 = 5 THEN 'not_published' ELSE 'ok' END AS status,
+        CASE event_id % 6 WHEN 0 THEN epoch_ms(date_trunc('second', ts)) WHEN 2 THEN epoch_ms(date_trunc('second', ts)) - 7200000 WHEN 5 THEN -1 ELSE 1704500000000 END AS generated_at_ms,
+        CASE WHEN event_id % 6 <> 5 THEN concat('n', event_id) END AS note, CASE WHEN event_id % 6 <> 5 THEN 'A|B' END AS tickers FROM events""",
+    "payload_contract": """SELECT event_id, concat_ws(',', CASE WHEN event_id % 6 IN (1, 2, 3, 4) THEN 'generatedAt' END, CASE WHEN event_id % 6 <> 5 AND event_id % 4 = 0 THEN 'dropPct' END,
+        CASE WHEN event_id % 6 <> 5 AND event_id % 5 = 0 THEN 'fwdPe' END) AS broken FROM events""",
+    "refresh_shown": f"""{CAND}, placed AS (SELECT *, {SNAPSHOT} AS snapshot, row_number() OVER (PARTITION BY {SNAPSHOT} ORDER BY pos) - 1 AS nth FROM cand)
+        SELECT snapshot, nth AS pos, ticker, drop_pct, market_cap_usd FROM placed WHERE {DEFAULT} QUALIFY row_number() OVER (PARTITION BY snapshot ORDER BY nth) <= 3""",
+    "refresh_hit": f"""{CAND}, {USERS}, placed AS (SELECT *, {SNAPSHOT} AS snapshot, row_number() OVER (PARTITION BY {SNAPSHOT} ORDER BY pos) - 1 AS nth FROM cand),
+        own AS (SELECT *, row_number() OVER (PARTITION BY snapshot ORDER BY nth) - 1 AS place FROM placed WHERE {WATCHED}),
+        b AS (SELECT snapshot, 0 AS src, place AS pos, ticker, drop_pct FROM own UNION ALL SELECT snapshot, 1, nth, ticker, drop_pct FROM placed WHERE upper(ticker) IN (SELECT upper(ticker) FROM users))
+        SELECT * FROM b WHERE abs(drop_pct) >= 10 QUALIFY row_number() OVER (PARTITION BY snapshot ORDER BY src, pos) = 1""",
+    "sync_keeps_snapshot": f"""WITH e AS (SELECT *, date_trunc('hour', ts) AS hour FROM events),
+        s AS (SELECT * FROM e WHERE event_type = 'click' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY hour DESC, event_id) = 1),
+        i AS (SELECT * FROM e WHERE event_type <> 'click' AND {_STATUS} = 'ok' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY hour DESC, event_id) = 1)
+        SELECT coalesce(s.user_id, i.user_id) AS user_id, CASE WHEN s.user_id IS NULL OR i.hour > s.hour THEN i.event_id ELSE s.event_id END AS event_id,
+        CASE WHEN s.user_id IS NULL OR i.hour > s.hour THEN i.value ELSE s.value END AS value, NOT (s.user_id IS NULL OR coalesce(i.hour > s.hour, false)) AS seen FROM s FULL JOIN i ON s.user_id = i.user_id""",
+    "error_shown": f"SELECT event_id, {_STATUS} <> 'ok' AND NOT (event_id % 2 = 0 AND event_id % 3 = 0) AS shown FROM events",
+    "seen_marked": "SELECT c_custkey, c_custkey % 2 = 0 OR c_mktsegment = 'BUILDING' AS seen FROM customer",
+    "generated_text": "SELECT event_id, strftime(ts, '%A %-d %B') AS day, strftime(ts, '%H:%M') AS clock FROM events",
+    "deep_watchlist": "WITH l AS (SELECT c_custkey, [upper(c_mktsegment), '', lower(c_mktsegment)] AS t FROM customer WHERE c_custkey % 5 <> 0) SELECT c_custkey, unnest(range(3)) AS pos, unnest(t) AS ticker FROM l",
+    "post_permalinks": "SELECT concat('No. ', o_orderkey) AS title, concat('/blog/', strftime(o_orderdate, '%Y/%m/%d'), '/order-', o_orderkey, '/') AS url, strftime(o_orderdate, '%B %-d, %Y') AS date_text, concat('First words of ', o_orderkey, '.') AS excerpt FROM orders",
     "notify_decision": f"""WITH k AS (SELECT *, CASE WHEN c_custkey % 3 = 0 THEN (c_custkey % 40) * CAST(1.25 AS DOUBLE) END AS fall, c_custkey % 2 = 0 AND c_custkey % 7 <> 0 AS may, c_custkey % 5 = 0 AS hit, c_custkey % 4 AS n FROM customer)
         SELECT c_custkey, CASE WHEN may AND hit THEN 'drop' WHEN may AND n > 0 THEN 'new' END AS kind,
         CASE WHEN may AND hit THEN concat(c_mktsegment, ' is down ', CASE WHEN fall IS NULL THEN 'sharply' ELSE concat({_fixed('fall', 1)}, '%') END) WHEN may AND n > 0 THEN concat(n, CASE WHEN n = 1 THEN ' candidate' ELSE ' candidates' END, ' today') END AS title,
@@ -117,9 +140,13 @@ ORACLES = {
         CASE WHEN list_contains(l, x) THEN concat(x, ' is already on your list.') END AS message, array_to_string(list_filter(l, lambda y: y <> x), '|') AS removed,
         CASE WHEN list_contains(l, x) THEN 1 ELSE -1 END AS place, array_to_string(list_filter(l, lambda y: y <> x)[1:2], '|') || '|' || x || CASE WHEN list_contains(l, x) THEN '' ELSE '|BBB' END AS restored,
         array_to_string(CASE WHEN list_contains(l, x) THEN list_filter(l, lambda y: y <> x) ELSE list_append(l, x) END, '|') AS toggled, l[2] AS first_long FROM a""",
-    "newest_first": "SELECT o_orderpriority AS title, concat('/', lpad(CAST(o_orderkey AS VARCHAR), 12, '0')) AS url, strftime(o_orderdate, '%B %-d, %Y') AS date_text FROM orders ORDER BY CAST(o_orderdate AS DATE) DESC, url DESC LIMIT 20",
+    "newest_first": "SELECT o_orderpriority AS title, concat('/', lpad(CAST(o_orderkey AS VARCHAR), 12, '0')) AS url, strftime(o_orderdate, '%B %-d, %Y') AS date_text FROM orders ORDER BY CAST(o_orderdate AS DATE) DESC, url DESC",
     "to_fixed_text": f"WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice * l_discount / 8 - 100 AS v FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey, {_fixed('v', 1)} AS one, {_fixed('v', 2)} AS two FROM x",
     "settings_preview": """SELECT * FROM (VALUES (0, 'falls of 10%+ in a day or week, above $500m market cap. Top 3.', '10%+ · above $500m'),
         (1, 'falls of 15%+ in a day or week, above $1bn market cap, forward P/E under 12, dividend payers only. Top 5.', '15%+ · above $1bn'),
         (2, 'falls of 10%+ in a day or week, above $500m market cap, excluding econ, promotional. Top 5.', '10%+ · above $500m')) AS v(n, preview, header)""",
+    "settings_merged": """SELECT * FROM (VALUES (0, CAST(10 AS DOUBLE), 'M500', CAST(NULL AS DOUBLE), false, '', 3, '', true, true), (1, 10, 'M500', NULL, false, '', 3, '', true, true),
+        (2, 15, 'M500', 12, false, '', 3, '', true, true), (3, 10, 'M500', NULL, false, 'Banks,Energy', -1, '', true, true), (4, 10, NULL, NULL, false, '', 3, 'XOM', false, true))
+        AS v(n, drop_threshold, min_market_cap, max_pe, dividend_payers_only, excluded_sectors, candidate_count, watchlist, notify_on_new_brief, notify_on_watchlist_drop)""",
+    "settings_choices": "SELECT * FROM (VALUES (0, ''), (1, ''), (2, 'excluded_sectors'), (3, 'candidate_count,excluded_sectors'), (4, 'drop_threshold,min_market_cap'), (5, '')) AS v(n, outside)",
 }

@@ -14,7 +14,7 @@ from millrace.sources import settings as st
 from millrace.sources import snapshots
 from millrace.streaming import sync
 
-from .surrogate import USER_LIST, candidates, deep_list
+from .surrogate import SNAPSHOT, USER_LIST, candidates, deep_list, payloads
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,20 +32,29 @@ def _screened(s: st.Settings) -> Query:
     return lambda spark, d: screen.screen(candidates(spark, d), s).select("pos", "ticker", "sector", "drop_pct", "market_cap_usd", "fwd_pe")
 
 
-def screen_array(spark: SparkSession, d: str) -> DataFrame:
-    """Many snapshots at once: the candidates of each part type as one array."""
+def _arrays(spark: SparkSession, d: str) -> DataFrame:
     from millrace.sources.schema import CANDIDATE, COLUMNS
 
     fields = {f.name: f.dataType for f in CANDIDATE.fields}
-    rows = candidates(spark, d).withColumn("snapshot", F.col("pos") % 200)
+    rows = candidates(spark, d).withColumn("snapshot", F.expr(SNAPSHOT))
     c = F.struct(*[(F.col(col) if col in rows.columns else F.lit(None)).cast(fields[f]).alias(f) for f, col in COLUMNS.items()])
-    briefs = rows.groupBy("snapshot").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", c.alias("c")))), lambda x: x["c"]).alias("candidates"))
-    shown = briefs.select("snapshot", F.posexplode(screen.screen_array(F.col("candidates"), TIGHT)).alias("rank", "c"))
+    return rows.groupBy("snapshot").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", c.alias("c")))), lambda x: x["c"]).alias("candidates"))
+
+
+def screen_array(spark: SparkSession, d: str) -> DataFrame:
+    """Many snapshots at once, the candidates of each as one array."""
+    shown = _arrays(spark, d).select("snapshot", F.posexplode(screen.screen_array(F.col("candidates"), TIGHT)).alias("rank", "c"))
     return shown.select("snapshot", "rank", F.col("c.ticker").alias("ticker"), F.col("c.dropPct").alias("drop_pct"))
 
 
+def screen_null_array(spark: SparkSession, d: str) -> DataFrame:
+    """Every third snapshot has no array of candidates, and shows none."""
+    some = F.when(F.col("snapshot") % 3 != 0, F.col("candidates"))
+    return _arrays(spark, d).select("snapshot", F.size(screen.screen_array(some, TIGHT)).cast("long").alias("shown"))
+
+
 def screen_grouped(spark: SparkSession, d: str) -> DataFrame:
-    rows = candidates(spark, d).withColumn("snapshot", F.col("pos") % 200)
+    rows = candidates(spark, d).withColumn("snapshot", F.expr(SNAPSHOT))
     return screen.screen(rows, TIGHT, by="snapshot").select("snapshot", "pos", "ticker", "drop_pct")
 
 
@@ -64,7 +73,7 @@ def brief_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def verdict_tally(spark: SparkSession, d: str) -> DataFrame:
-    shown = screen.screen(candidates(spark, d), st.Settings(candidate_count=500))
+    shown = screen.screen(candidates(spark, d), st.Settings(candidate_count=None))
     return screen.verdict_tallies(shown)
 
 
@@ -149,8 +158,101 @@ def response_status(spark: SparkSession, d: str) -> DataFrame:
     rows = _payloads(spark, d)
     outcome = F.when(F.col("event_id") % 11 == 0, "timeout").when(F.col("event_id") % 13 == 0, "error").otherwise("response")
     http = F.when(F.col("event_id") % 17 == 0, 404).when(F.col("event_id") % 19 == 0, 503).otherwise(200)
-    status = snapshots.response_status(outcome, http, F.col("value"))
-    return rows.select("event_id", status.alias("status"), snapshots.status_message(status, http).alias("message"), F.coalesce(snapshots.status_code(status, http), F.lit(200)).alias("code"))
+    return snapshots.with_status(rows, outcome, http).select("event_id", "status", "message", F.coalesce("code", F.lit(200)).alias("code"))
+
+
+def _stamped(spark: SparkSession, d: str) -> DataFrame:
+    """Payloads with times that can and can't be read, made from events."""
+    k, stamp = F.col("event_id") % 6, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    time = F.when(k == 0, F.concat(stamp, F.lit("Z"))).when(k == 1, F.lit("soon")).when(k == 2, F.concat(stamp, F.lit("+02:00"))).when(k == 4, F.lit("")).when(k == 5, F.concat(stamp, F.lit("Z")))
+    drop = F.when(F.col("event_id") % 4 == 0, F.lit('"-12"')).otherwise(F.lit("-12.5"))
+    rows = F.concat(F.lit('[{"ticker":"A","dropPct":'), drop, F.lit("},null,"), F.lit('{"ticker":"B","fwdPe":'), F.when(F.col("event_id") % 5 == 0, F.lit('"9"')).otherwise(F.lit("null")), F.lit("}]"))
+    brief = F.when(k == 5, F.lit("null")).otherwise(F.concat(F.lit('{"note":"n'), F.col("event_id"), F.lit('","candidates":'), rows, F.lit("}")))
+    head = F.when(time.isNull(), F.lit("")).otherwise(F.concat(F.lit('"generatedAt":"'), time, F.lit('",')))
+    return _table(spark, d, "events").select("event_id", F.concat(F.lit("{"), head, F.lit('"brief":'), brief, F.lit("}")).alias("value"))
+
+
+def payload_parsed(spark: SparkSession, d: str) -> DataFrame:
+    rows = snapshots.parsed(_stamped(spark, d), F.timestamp_millis(F.lit(AS_OF_MS)))
+    listed = F.filter("brief.candidates", lambda c: c.isNotNull())
+    return rows.select("event_id", "status", F.coalesce("generated_at_ms", F.lit(-1)).alias("generated_at_ms"), F.col("brief.note").alias("note"), F.array_join(F.transform(listed, lambda c: c["ticker"]), "|").alias("tickers"))
+
+
+def payload_contract(spark: SparkSession, d: str) -> DataFrame:
+    return _stamped(spark, d).select("event_id", F.array_join(contract.payload_violations(F.col("value")), ",").alias("broken"))
+
+
+WATCHING = st.Settings(watchlist=USER_LIST, candidate_count=3)
+
+
+def refresh_shown(spark: SparkSession, d: str) -> DataFrame:
+    """From payload texts to the rows that a refresh shows."""
+    shown, _ = sync.refreshed(snapshots.parsed(payloads(spark, d), F.timestamp_millis(F.lit(AS_OF_MS))), WATCHING, by="snapshot")
+    return shown.select("snapshot", "pos", "ticker", "drop_pct", "market_cap_usd")
+
+
+def refresh_hit(spark: SparkSession, d: str) -> DataFrame:
+    """From payload texts to the watched fall of each snapshot."""
+    _, hit = sync.refreshed(snapshots.parsed(payloads(spark, d), F.timestamp_millis(F.lit(AS_OF_MS))), WATCHING, by="snapshot")
+    return hit.select("snapshot", "src", "pos", "ticker", "drop_pct")
+
+
+def sync_keeps_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    """Each user's cached version after the payloads of all event types but clicks, of which only
+    good and newer ones count."""
+    events = _table(spark, d, "events").withColumn("hour", F.date_trunc("hour", "ts"))
+    state = sync.newest(events.where("event_type = 'click'"), "user_id", "hour", "event_id", ["value"]).withColumn("seen", F.lit(True))
+    texts = _payloads(spark, d).withColumnRenamed("value", "text").withColumnRenamed("event_id", "_id")
+    arrived = events.where("event_type <> 'click'").join(texts, F.col("event_id") == F.col("_id")).where(snapshots.payload_status(F.col("text")) == "ok")
+    incoming = sync.newest(arrived, "user_id", "hour", "event_id", ["value"])
+    return sync.upserted(state, incoming, "user_id", "hour").select("user_id", "event_id", "value", "seen")
+
+
+def error_shown(spark: SparkSession, d: str) -> DataFrame:
+    rows = _payloads(spark, d).withColumn("status", snapshots.payload_status(F.col("value")))
+    return rows.select("event_id", sync.error_shown(F.col("status"), F.col("event_id") % 2 == 0, F.col("event_id") % 3 == 0).alias("shown"))
+
+
+def seen_marked(spark: SparkSession, d: str) -> DataFrame:
+    state = _table(spark, d, "customer").select("c_custkey", "c_mktsegment", (F.col("c_custkey") % 2 == 0).alias("seen"))
+    return sync.marked_seen(state, "c_mktsegment", "BUILDING").select("c_custkey", "seen")
+
+
+def generated_text(spark: SparkSession, d: str) -> DataFrame:
+    # the table's times carry no zone
+    ms = F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
+    return _table(spark, d, "events").select("event_id", present.generated_text(ms).alias("day"), values.clock(F.timestamp_millis(ms)).alias("clock"))
+
+
+def deep_watchlist(spark: SparkSession, d: str) -> DataFrame:
+    c = _table(spark, d, "customer")
+    tickers = F.concat(F.lit('["'), F.upper("c_mktsegment"), F.lit('","","'), F.lower("c_mktsegment"), F.lit('"]'))
+    text = F.when(F.col("c_custkey") % 5 == 0, F.lit('{"_comment":"none"}')).otherwise(F.concat(F.lit('{"_comment":"made by hand","tickers":'), tickers, F.lit("}")))
+    return snapshots.deep_watchlist(c.select("c_custkey", text.alias("value")), by="c_custkey").select("c_custkey", "pos", "ticker")
+
+
+def post_permalinks(spark: SparkSession, d: str) -> DataFrame:
+    """Posts made from orders: front matter with and without a date, title in quotes or not."""
+    k, day = F.col("o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd")
+    date = F.when(k % 3 != 0, F.concat(F.lit("date: "), day, F.lit(" 10:00:00 +0000\n"))).otherwise(F.lit(""))
+    title = F.when(k % 2 == 0, F.concat(F.lit('"No. '), k, F.lit('"'))).otherwise(F.concat(F.lit("No. "), k))
+    text = F.concat(F.lit("---\nlayout: post\ntitle: "), title, F.lit("\n"), date, F.lit("---\n\nFirst <b>words</b> of "), k, F.lit(".\n\nMore.\n"))
+    files = _table(spark, d, "orders").select(text.alias("value"), F.concat(F.lit("/x/_posts/"), day, F.lit("-order-"), k, F.lit(".md")).alias("file"))
+    return posts.cards(snapshots.posts(files)).select("title", "url", "date_text", "excerpt")
+
+
+def settings_merged(spark: SparkSession, d: str) -> DataFrame:
+    """Stored settings over the defaults; a key that is there counts even if it is null."""
+    stored = [None, {}, {"dropThreshold": 15, "maxPe": 12}, {"maxPe": None, "candidateCount": None, "excludedSectors": ["Banks", "Energy"]}, {"watchlist": ["XOM"], "notifyOnNewBrief": False, "minMarketCap": None, "other": 1}]
+    rows = []
+    for i, s in enumerate(map(st.merged, stored)):
+        rows.append((i, float(s.drop_threshold), s.min_market_cap, s.max_pe and float(s.max_pe), s.dividend_payers_only, ",".join(s.excluded_sectors), -1 if s.candidate_count is None else s.candidate_count, ",".join(s.watchlist), s.notify_on_new_brief, s.notify_on_watchlist_drop))
+    return spark.createDataFrame(rows, "n int, drop_threshold double, min_market_cap string, max_pe double, dividend_payers_only boolean, excluded_sectors string, candidate_count int, watchlist string, notify_on_new_brief boolean, notify_on_watchlist_drop boolean")
+
+
+def settings_choices(spark: SparkSession, d: str) -> DataFrame:
+    tried = [st.Settings(), TIGHT, SECTOR, ALL, st.Settings(drop_threshold=11, max_pe=10, min_market_cap="B2"), st.Settings(excluded_sectors=("Banks", "Energy"))]
+    return spark.createDataFrame([(i, ",".join(sorted(st.outside_choices(s)))) for i, s in enumerate(tried)], "n int, outside string")
 
 
 def notify_decision(spark: SparkSession, d: str) -> DataFrame:
@@ -209,7 +311,7 @@ def list_edit(spark: SparkSession, d: str) -> DataFrame:
 
 def newest_first(spark: SparkSession, d: str) -> DataFrame:
     rows = _table(spark, d, "orders").select(F.col("o_orderdate").cast("date").alias("date"), F.concat(F.lit("/"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0")).alias("url"), F.col("o_orderpriority").alias("title"), F.lit(None).cast("string").alias("excerpt_source"))
-    return posts.cards(rows).limit(20).select("title", "url", "date_text")
+    return posts.cards(rows).select("title", "url", "date_text")
 
 
 def to_fixed_text(spark: SparkSession, d: str) -> DataFrame:
@@ -228,6 +330,8 @@ QUERIES: dict[str, Query] = {
     "screen_sector": _screened(SECTOR),
     "screen_all": _screened(ALL),
     "screen_array": screen_array,
+    "screen_null_array": screen_null_array,
+    "screen_unknown_tier": _screened(st.Settings(min_market_cap="X9", candidate_count=5)),
     "screen_grouped": screen_grouped,
     "screen_stats": screen_stats,
     "blind_spots": blind_spots,
@@ -246,6 +350,16 @@ QUERIES: dict[str, Query] = {
     "props_parse": props_parse,
     "payload_status": payload_status,
     "response_status": response_status,
+    "payload_parsed": payload_parsed,
+    "payload_contract": payload_contract,
+    "refresh_shown": refresh_shown,
+    "refresh_hit": refresh_hit,
+    "sync_keeps_snapshot": sync_keeps_snapshot,
+    "error_shown": error_shown,
+    "seen_marked": seen_marked,
+    "generated_text": generated_text,
+    "deep_watchlist": deep_watchlist,
+    "post_permalinks": post_permalinks,
     "notify_decision": notify_decision,
     "validate_contract": validate_contract,
     "publishable": publishable,
@@ -257,4 +371,6 @@ QUERIES: dict[str, Query] = {
     "newest_first": newest_first,
     "to_fixed_text": to_fixed_text,
     "settings_preview": settings_preview,
+    "settings_merged": settings_merged,
+    "settings_choices": settings_choices,
 }

@@ -8,6 +8,9 @@ residues of the key.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.sources.schema import COLUMNS
 
 EXPRESSIONS = {
     "pos": "p_partkey",
@@ -31,7 +34,7 @@ EXPRESSIONS = {
 }
 
 #: A deep watchlist made from the same rows: lower-case tickers, some empty, duplicates.
-DEEP = "pos <= 40 AND pos % 5 <> 0"
+DEEP = "(ticker LIKE 'BRAND#1%' OR ticker = '') AND fwd_pe > 10"
 DEEP_TICKER = "CASE WHEN pos % 8 = 0 THEN '' ELSE lower(ticker) END"
 USER_LIST = ("brand#11", "BRAND#13", "xom", "Brand#22", "brand#11", "BRAND#9", "ZZZ")
 
@@ -44,5 +47,22 @@ def deep_list(rows: DataFrame) -> DataFrame:
     return rows.where(DEEP).selectExpr("pos", f"{DEEP_TICKER} AS ticker", *[c for c in rows.columns if c not in ("pos", "ticker")])
 
 
+#: Which snapshot a candidate belongs to: so many candidates each, whatever the table's size.
+SNAPSHOT = "CAST(floor(pos / CAST(40 AS DOUBLE)) AS BIGINT)"
+#: Candidates that are on their snapshot's own watch list too.
+WATCHED = "drop_window = '5 days'"
+
+
+def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``snapshot, value``: the text of each snapshot as it would be published."""
+    fields = {column: field for field, column in COLUMNS.items()}
+    rows = candidates(spark, sf_dir)
+    c = F.struct(*[F.col(column).alias(field) for column, field in fields.items() if column in rows.columns])
+    pair = F.struct("pos", c.alias("c"))
+    ordered = lambda x: F.transform(F.array_sort(F.collect_list(x)), lambda p: p["c"])
+    lists = rows.groupBy(F.expr(SNAPSHOT).alias("snapshot")).agg(ordered(pair).alias("candidates"), ordered(F.when(F.expr(WATCHED), pair)).alias("watch"))
+    return lists.select("snapshot", F.to_json(F.struct(F.lit("2026-08-04T10:30:00Z").alias("generatedAt"), F.struct("candidates", "watch").alias("brief"))).alias("value"))
+
+
 def candidates_sql() -> str:
     return "WITH cand AS (SELECT " + ", ".join(f"{e} AS {c}" for c, e in EXPRESSIONS.items()) + " FROM part)"

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .settings import FETCH_TIMEOUT_MS
-from .snapshots import response_status, status_code, status_message
+from .snapshots import with_status
 
 RESPONSE = "outcome string, http int, value string"
 
@@ -33,9 +33,7 @@ def fetch(url: str, timeout_ms: int = FETCH_TIMEOUT_MS) -> tuple[str, int | None
 def fetched(spark: SparkSession, url: str, timeout_ms: int = FETCH_TIMEOUT_MS) -> DataFrame:
     """One row: ``outcome, http, value, status, message, code``."""
     row = spark.createDataFrame([fetch(url, timeout_ms)], RESPONSE)
-    status = response_status(F.col("outcome"), F.col("http"), F.col("value"))
-    row = row.withColumn("status", status)
-    return row.withColumns({"message": status_message(F.col("status"), F.col("http")), "code": status_code(F.col("status"), F.col("http"))})
+    return with_status(row, F.col("outcome"), F.col("http"))
 
 
 def land(response: DataFrame, folder: str) -> None:

@@ -11,6 +11,8 @@ DROP_CHOICES, PE_CHOICES, COUNT_CHOICES = (10, 15, 20), (None, 10, 12, 15, 20),
 STALE_AFTER_MS = 60 * 60 * 60 * 1000
 FETCH_TIMEOUT_MS, MIN_SYNC_INTERVAL = 20_000, "12 hours"
 SETTINGS_KEY, SNAPSHOT_KEY = "settings", "brief"
+
+#: What is shown below research notes; our own words.
 DISCLAIMER = "Research notes, not advice. Figures may be late or wrong; check them before acting."
 
 _STORED = {

@@ -48,6 +48,13 @@ def response_status(outcome: Column, http: Column, text: Column) -> Column:
     )
 
 
+def with_status(rows: DataFrame, outcome: Column, http: Column) -> DataFrame:
+    """``status, message, code`` beside the columns of ``rows`` (``value``: the text). The status is a
+    column before the others read it, so the text is parsed once."""
+    rows = rows.withColumn("status", response_status(outcome, http, F.col("value")))
+    return rows.withColumns({"message": status_message(F.col("status"), http), "code": status_code(F.col("status"), http)})
+
+
 def status_message(status: Column, http: Column) -> Column:
     out = F.when(status == "http_error", F.concat(F.lit("Couldn't load the brief (HTTP "), http.cast("string"), F.lit(").")))
     for name, message in MESSAGES.items():
@@ -72,10 +79,14 @@ def parsed(payloads: DataFrame, now: Column) -> DataFrame:
     return typed.withColumns({"brief": F.when(ok, F.col("_p.brief")), "generated_at_ms": F.when(ok, epoch_ms(F.col("_p.generatedAt"), now))}).drop("_p")
 
 
+def deep_watchlist(texts: DataFrame, by: str | None = None) -> DataFrame:
+    """``pos, ticker`` of the list in ``value``; with ``by``, of each row's list."""
+    rows = texts.withColumn("_list", F.from_json("value", DEEP_WATCHLIST))
+    return rows.select(*([by] if by else []), F.posexplode("_list.tickers").alias("pos", "ticker"))
+
+
 def read_deep_watchlist(spark: SparkSession, path: str) -> DataFrame:
-    """``pos, ticker``."""
-    rows = spark.read.schema(DEEP_WATCHLIST).option("multiLine", True).json(path)
-    return rows.select(F.posexplode("tickers").alias("pos", "ticker"))
+    return deep_watchlist(spark.read.text(path, wholetext=True))
 
 
 def _front(text: Column, name: str) -> Column:

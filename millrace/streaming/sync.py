@@ -62,18 +62,28 @@ def notification(changed: Column, permitted: Column, hit_ticker: Column, hit_dro
     return out.when(shown > 0, new) if s.notify_on_new_brief else out.otherwise(F.lit(None).cast("struct<kind:string,title:string,body:string>"))
 
 
-def refreshed(brief: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
-    """Shown rows and the watch hit (one row or none) of a one-row table with ``brief``."""
-    candidates = brief.select(*exploded(F.col("brief.candidates"))).where("c is not null").select("pos", *flat())
-    deep = brief.select(*exploded(F.col("brief.watch"))).where("c is not null").select("pos", *flat())
-    return screen(candidates, s), watch_hit(deep, candidates, user_list(brief.sparkSession, s.watchlist), s.drop_threshold)
+def replaces(cached_ms: int | None, fresh_ms: int) -> bool:
+    """Whether a snapshot takes the cached one's place: only a strictly newer one does."""
+    return cached_ms is None or fresh_ms > cached_ms
+
+
+def listed(brief: DataFrame, array: str, by: str | None = None) -> DataFrame:
+    """The candidates of ``brief`` in ``array``, each with ``pos``."""
+    key = [by] if by else []
+    return brief.select(*key, *exploded(F.col(f"brief.{array}"))).where("c is not null").select(*key, "pos", *flat())
+
+
+def refreshed(brief: DataFrame, s: Settings, by: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Shown rows and the watch hit (one row or none) of a one-row table with ``brief``; with ``by``,
+    of each row of a table of snapshots."""
+    candidates, deep = listed(brief, "candidates", by), listed(brief, "watch", by)
+    return screen(candidates, s, by), watch_hit(deep, candidates, user_list(brief.sparkSession, s.watchlist), s.drop_threshold, by)
 
 
 def decided(brief: DataFrame, s: Settings, permitted: bool = True) -> DataFrame:
     """``kind, title, body``: no row or one."""
-    candidates = brief.select(*exploded(F.col("brief.candidates"))).where("c is not null").select("pos", *flat())
     _, hit = refreshed(brief, s)
-    stats = filter_stats(candidates, s).select("shown")
+    stats = filter_stats(listed(brief, "candidates"), s).select("shown")
     found = hit.agg(F.first("ticker").alias("hit_ticker"), F.first("drop_pct").alias("hit_drop"), F.count(F.lit(1)).alias("hits"))
     note = brief.agg(F.first("brief.note").alias("note"))
     one = stats.join(found).join(note)  # one row each
@@ -107,15 +117,11 @@ class Sync:
         """Whether the cached snapshot changed. ``payloads`` has ``value`` and ``arrival``."""
         ok = parsed(payloads, F.current_timestamp()).where("status = 'ok'").withColumn("key", F.lit(self.KEY))
         best = newest(ok, "key", "generated_at_ms", "arrival", ["brief"]).select("generated_at_ms", "brief")
-        cached = self.cached()
-        version = 0
-        if cached is not None:
-            last = cached.select("generated_at_ms", "version").first()
-            version = last["version"] + 1
-            best = best.where(F.col("generated_at_ms") > last["generated_at_ms"])
-        best = best.withColumns({"seen": F.lit(False), "version": F.lit(version).cast("long")})
-        if best.isEmpty():
+        cached, found = self.cached(), best.select("generated_at_ms").first()
+        last = cached.select("generated_at_ms", "version").first() if cached is not None else None
+        if found is None or not replaces(last and last["generated_at_ms"], found["generated_at_ms"]):
             return False
+        best = best.withColumns({"seen": F.lit(False), "version": F.lit(last["version"] + 1 if last else 0).cast("long")})
         best.coalesce(1).write.mode("append").parquet(self.state)
         self.alert(decided(self.cached().select("brief"), self.settings(), self.permitted))
         return True
@@ -126,8 +132,11 @@ class Sync:
             last.withColumns({"seen": F.lit(True), "version": F.col("version") + 1}).coalesce(1).write.mode("append").parquet(self.state)
 
     def start(self, landing: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-        """Follow a landing folder, file by file in the order of their arrival."""
-        stream = self.spark.readStream.format("text").option("wholetext", True).option("maxFilesPerTrigger", 1).load(landing)
+        """Follow a landing folder. A trigger takes all files that are there; of those the newest
+        snapshot counts, the first to arrive of equally new ones. With ``once`` what is there is
+        gone through file by file, in the order of arrival, with an alert for each change."""
+        reader = self.spark.readStream.format("text").option("wholetext", True)
+        stream = (reader.option("maxFilesPerTrigger", 1) if once else reader).load(landing)
         rows = stream.select("value", F.unix_micros("_metadata.file_modification_time").alias("arrival"))
         writer = rows.writeStream.foreachBatch(lambda batch, _: self.sync(batch)).option("checkpointLocation", checkpoint)
         return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=MIN_SYNC_INTERVAL)).start()
