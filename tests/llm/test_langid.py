@@ -1,3 +1,8 @@
+import itertools
+import math
+import re
+import zlib
+
 import numpy as np
 import pytest
 
@@ -25,6 +30,66 @@ def test_viterbi_is_exact_in_blocks(seed):
         at += n
 
 
+def plain_label(text, model, switch, spans):
+    """The whole operator once more, a word and a letter at a time. Of paths that are equally good
+    the one in ``spans`` is taken."""
+    words = re.findall(r"[^\W\d_]+", text.lower())
+    if not any(c.isalpha() for w in words for c in w):
+        return "und", 0.0, []
+    mask = (1 << 64) - 1
+    names, scores, known = langid.SCRIPT_NAMES, [], []
+    for w in words:
+        s = [0.0] * len(model.languages)
+        for a, b, c in zip("\n" + w, w, w[1:] + "\n"):
+            h = (ord(a) * 0x9E3779B97F4A7C15 + ord(b) * 0xC2B2AE3D27D4EB4F + ord(c) * 0x165667B19E3779F9) & mask
+            h = ((h ^ (h >> 29)) * 0xBF58476D1CE4E5B9 & mask) >> 48
+            s = [x + float(y) for x, y in zip(s, model.weights[h])]
+        can = [bool(x) for x in model.scripts[names.index(langid.script(w[0]))]]
+        s = [x if ok else 4 * langid.FLOOR for x, ok in zip(s, can)] if any(can) else [0.0] * len(s)
+        scores.append([x - max(s) for x in s])
+        known.append(any(can) and any(c.isalpha() for c in w))
+    best = [(v, [k]) for k, v in enumerate(scores[0])]
+    for row in scores[1:]:
+        best = [max((((v - switch * (p[-1] != k)) + row[k], [*p, k]) for v, p in best), key=lambda x: x[0]) for k in range(len(row))]
+    value, path = max(best, key=lambda x: x[0])
+    own = [model.languages.index(lang) for _, n, lang in spans for _ in range(n)]
+    if len(own) == len(path) and abs(sum(r[k] for r, k in zip(scores, own)) - switch * sum(a != b for a, b in zip(own, own[1:])) - value) < 1e-2:
+        path = own
+    letters = [sum(len(w) for w, p in zip(words, path) if p == k) for k in range(len(model.languages))]
+    top = letters.index(max(letters))
+    total = [sum(r[k] for r in scores) for k in range(len(letters))]
+    gap = min(total[top] - t for k, t in enumerate(total) if k != top) * min(1, 8 / len(words))
+    score = letters[top] / sum(letters) / (1 + math.exp(-max(-30, min(30, gap)))) if any(known) else 0.0
+    spans, at = [], 0
+    for k, run in itertools.groupby(path):
+        n = len(list(run))
+        spans.append((at, n, model.languages[k]))
+        at += n
+    return model.languages[top], score, spans
+
+
+def test_labels_and_training_against_plain_rules(spark):
+    model = langid.train(corpus(spark))
+    rng = np.random.default_rng(7)
+    pool = "the of house tree der und nicht baum zwischen дом окно который 中文 ελληνικό x qz m² ½ 12 window's don't Straße".split()
+    texts = [" ".join(rng.choice(pool, rng.integers(1, 60))) for _ in range(120)] + ["", "12 ½", "中文", "the " * 70 + "дом " * 50]
+    for text, (lang, score, spans) in zip(texts, langid.label(texts, model)):
+        want = plain_label(text, model, langid.SWITCH, spans)
+        assert (lang, spans) == (want[0], want[2]), text
+        assert abs(score - want[1]) < 1e-4
+    # training: the counts of every bucket, from the rows that are learned from
+    rows = [r for r in corpus(spark).collect() if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2]
+    counts = np.zeros((langid.BUCKETS, 3))
+    for r in rows:
+        for w in r["text"].split():
+            for a, b, c in zip("\n" + w, w, w[1:] + "\n"):
+                h = (ord(a) * 0x9E3779B97F4A7C15 + ord(b) * 0xC2B2AE3D27D4EB4F + ord(c) * 0x165667B19E3779F9) % 2**64
+                counts[((h ^ (h >> 29)) * 0xBF58476D1CE4E5B9 % 2**64) >> 48, model.languages.index(r["lang"])] += 1
+    overall = (counts.sum(axis=1, keepdims=True) + 1) / (counts.sum() + langid.BUCKETS)
+    w = np.log(counts / counts.sum(axis=0) + langid.SMOOTH * overall)
+    assert np.allclose(model.weights, np.maximum(w - w.max(axis=1, keepdims=True), langid.FLOOR), atol=1e-5)
+
+
 def corpus(spark):
     words = {"en": "the of and with that house tree from window", "de": "der die und mit nicht haus baum fenster zwischen", "ru": "дом дерево окно между который вместе город"}
     rng = np.random.default_rng(1)

@@ -1,4 +1,6 @@
 import itertools
+import math
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -124,6 +126,39 @@ def by_plain_rules(tags):
     return sums
 
 
+def test_features_and_scores_of_texts_against_plain_rules():
+    rng = np.random.default_rng(11)
+    shown = {tox.INSULT: ["idiot", "Scum"], tox.THREAT: ["kill", "burn"], tox.TARGET: ["you", "THEM"], tox.NEGATION: ["not", "don't"], tox.REPORT: ["said", "wrote"], tox.OTHER: ["house", "été", "x"], tox.STOP: [".", "?!"[:1]], tox.COLON: [":"], tox.QUOTE: ['"', "“"], tox.LINE: ["\n"]}
+    scorer = tox.Scorer(tox.Model(dict.fromkeys(tox.SEEDS, 1.0), {}, np.append(tox.PRIOR, tox.BIAS)))
+    for _ in range(2000):
+        tags = [tox.TAGS[i] for i in rng.integers(0, len(tox.TAGS), rng.integers(0, 30))]
+        text = " 7, ".join(str(rng.choice(shown[t])) for t in tags)
+        plain = by_plain_rules(tags)
+        f = scorer.features(text)
+        assert np.allclose(f, [math.log1p(plain[k]) for k in tox.FEATURES]), text
+        z = sum(w * math.log1p(plain[k]) for w, k in zip(tox.PRIOR, tox.FEATURES)) + tox.BIAS
+        assert abs(scorer.score(f[None])[0] - 1 / (1 + math.exp(-z))) < 1e-9
+
+
+def test_the_lexicon_against_plain_counts(spark):
+    docs, labels = labelled(spark)
+    rows = docs.join(labels.where("toxic is not null"), "doc_id").select("toxic", "text")
+    words, stems = tox.lexicon(rows)
+    texts = [(r["toxic"], {w for w in re.split(r"[^a-z]+", r["text"].lower()) if len(w) >= 3}) for r in rows.collect()]
+    n = [sum(y == k for y, _ in texts) for k in (0, 1)]
+    found = {0: {}, 1: {}}
+    forms = {(w, 0) for _, ws in texts for w in ws} | {(w[:k], 1) for _, ws in texts for w in ws for k in (4, 5, 6) if len(w) > k}
+    for form, stem in forms:
+        hits = [sum(sum(w.startswith(form) and len(w) > len(form) if stem else w == form for w in ws) for y, ws in texts if y == k) for k in (0, 1)]
+        if hits[1] >= 4 and hits[1] >= 3 * hits[0] and tox.chance(hits[1], sum(hits), n[1] / sum(n)) < tox.ALPHA:
+            odds = math.log((hits[1] + 0.5) / (n[1] + 1)) - math.log((hits[0] + 0.5) / (n[0] + 1))
+            if odds > 1.5:
+                found[stem][form] = odds
+    for got, want in ((words, found[0]), (stems, found[1])):
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+    assert words or stems
+
+
 def by_the_table(tags):
     state, sums = 0, {}
     for t in tags:
