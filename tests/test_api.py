@@ -1,4 +1,5 @@
 import http.server
+import socket
 import threading
 
 import pytest
@@ -60,6 +61,25 @@ def test_outcomes_without_a_response(spark, tmp_path, url):
     assert spark.read.text(str(tmp_path / "landing"), wholetext=True).first()[0].strip() == payload()
 
 
+def test_a_server_that_does_not_answer_in_time(spark):
+    with socket.socket() as silent:
+        silent.bind(("127.0.0.1", 0))
+        silent.listen()
+        got = fetch.fetched(spark, f"http://127.0.0.1:{silent.getsockname()[1]}/", timeout_ms=300).first()
+    assert (got["outcome"], got["status"], got["code"]) == ("timeout", "timeout", 0) and got["message"].startswith("That took too long")
+
+
+def test_a_snapshot_is_marked_as_seen(spark, tmp_path):
+    (tmp_path / "brief.json").write_text(payload())
+    engine = Engine(spark, str(tmp_path / "kv"), str(tmp_path / "brief.json"))
+    engine.mark_seen()
+    assert engine.get_brief() is None
+    engine.sync_published()
+    assert engine.get_brief()["seen"] is False
+    engine.mark_seen()
+    assert engine.get_brief()["seen"] is True and engine.sync_published()[0] is False and engine.get_brief()["seen"] is True
+
+
 def test_a_published_file(spark, tmp_path):
     (tmp_path / "brief.json").write_text(payload())
     engine = Engine(spark, str(tmp_path / "kv"), str(tmp_path / "brief.json"))

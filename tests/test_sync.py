@@ -58,6 +58,19 @@ def test_the_whole_loop_keeps_the_snapshot_on_bad_payloads_and_alerts_once(spark
     assert loop.sync(spark.createDataFrame([(payload(), 1)], "value string, arrival long")) is False
 
 
+def test_a_trigger_takes_all_files_that_are_there(spark, tmp_path, monkeypatch):
+    landing, alerts = tmp_path / "landing", []
+    landing.mkdir()
+    for i in range(6):
+        (landing / f"{i}.json").write_text(payload(at=f"2026-08-0{i + 1}T10:30:00Z"))
+    monkeypatch.setattr(sync, "MIN_SYNC_INTERVAL", "1 hour")
+    loop = sync.Sync(spark, str(tmp_path / "state"), Settings, lambda df: alerts.append(df.count()))
+    query = loop.start(str(landing), str(tmp_path / "cp"))
+    query.processAllAvailable()
+    query.stop()
+    assert len(alerts) == 1 and loop.cached().first()["generated_at_ms"] == 1786012200000
+
+
 def test_alert_priority(spark):
     df = spark.createDataFrame([(True, True, "XOM", -12.25, True, 2), (True, True, "XOM", None, True, 2), (True, True, None, None, False, 1), (True, True, None, None, False, 0), (False, True, "X", -12.0, True, 1), (True, False, "X", -12.0, True, 1)], "c boolean, p boolean, t string, d double, h boolean, n long")
     alert = lambda s: [r[0] and r[0]["title"] for r in df.select(sync.notification(F.col("c"), F.col("p"), F.col("t"), F.col("d"), F.col("h"), F.col("n"), F.lit(None).cast("string"), s)).collect()]
