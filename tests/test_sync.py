@@ -1,4 +1,5 @@
 import os
+import time
 
 from pyspark.sql import functions as F
 
@@ -66,7 +67,9 @@ def test_a_trigger_takes_all_files_that_are_there(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(sync, "MIN_SYNC_INTERVAL", "1 hour")
     loop = sync.Sync(spark, str(tmp_path / "state"), Settings, lambda df: alerts.append(df.count()))
     query = loop.start(str(landing), str(tmp_path / "cp"))
-    query.processAllAvailable()
+    deadline = time.time() + 60
+    while not alerts and time.time() < deadline:
+        time.sleep(0.1)
     query.stop()
     assert len(alerts) == 1 and loop.cached().first()["generated_at_ms"] == 1786012200000
 
