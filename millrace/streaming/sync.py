@@ -86,7 +86,8 @@ def decided(brief: DataFrame, s: Settings, permitted: bool = True) -> DataFrame:
     stats = filter_stats(listed(brief, "candidates"), s).select("shown")
     found = hit.agg(F.first("ticker").alias("hit_ticker"), F.first("drop_pct").alias("hit_drop"), F.count(F.lit(1)).alias("hits"))
     note = brief.agg(F.first("brief.note").alias("note"))
-    one = stats.join(found).join(note)  # one row each
+    parts = stats.unionByName(found, allowMissingColumns=True).unionByName(note, allowMissingColumns=True)  # one row each
+    one = parts.agg(*[F.first(c, ignorenulls=True).alias(c) for c in parts.columns])
     alert = notification(F.lit(True), F.lit(permitted), F.col("hit_ticker"), F.col("hit_drop"), F.col("hits") > 0, F.col("shown"), F.col("note"), s)
     return one.select(alert.alias("n")).where("n is not null").select("n.*")
 
