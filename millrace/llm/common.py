@@ -7,7 +7,10 @@ application ends.
 
 from __future__ import annotations
 
+import atexit
+import math
 import re
+import shutil
 import tempfile
 import threading
 import uuid
@@ -60,6 +63,7 @@ def shared_dir(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = tempfile.mkdtemp(prefix="millrace-")
+        atexit.register(shutil.rmtree, _own_dirs[app], ignore_errors=True)
     return _own_dirs[app]
 
 
@@ -130,25 +134,26 @@ def _nullable(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
 
 
-def hash_bounds(counts: dict, sample: int, spare: int = 2) -> dict:
-    """For each value with so many rows, the signed 64-bit hash below which some ``spare * sample``
-    of them lie; None: take all."""
-    return {value: None if n <= spare * sample else (spare * sample << 64) // n - (1 << 63) for value, n in counts.items()}
+def hash_bounds(counts: dict, sample: int, times: int = 1) -> dict:
+    """For each value with so many rows, the signed 64-bit hash below which the sample and six
+    standard deviations more are to be expected, ``times`` that; None: take all."""
+    want = times * (sample + 6 * math.isqrt(sample) + 16)
+    return {value: None if n <= want else (want << 64) // n - (1 << 63) for value, n in counts.items()}
 
 
 def least_hashed(rows: DataFrame, by: str, counts: dict, sample: int, hashed: list[str], name: str) -> DataFrame:
     """Of each value of ``by`` the ``sample`` rows with the least hashes of ``hashed``, all where it
     has fewer, as a written table. ``counts``: rows of each value.
 
-    A bound on the hash, from the counts, lets through some twice as many; the least of those
-    are taken exactly. Where the bound let through too few (rows that repeat share a hash), it
+    A bound on the hash, from the counts, lets through a few more; the least of those are taken
+    exactly. Where the bound let through too few (rows that repeat share a hash), it
     is raised, so the sample is full for any number of rows.
     """
-    h, spare = F.xxhash64(*hashed), 2
+    h, times = F.xxhash64(*hashed), 1
     # first within a part of the rows, so that one hash that very many share is no single task
     ranks = [F.row_number().over(Window.partitionBy(by, *part).orderBy("_h")) for part in (["_part"], [])]
     while True:
-        bounds = hash_bounds(counts, sample, spare)
+        bounds = hash_bounds(counts, sample, times)
         take = F.lit(False)
         for value, bound in bounds.items():
             take |= (F.col(by) == F.lit(value)) & (F.lit(True) if bound is None else F.col("_h") < F.lit(bound))
@@ -160,7 +165,7 @@ def least_hashed(rows: DataFrame, by: str, counts: dict, sample: int, hashed: li
         if all(bound is None or found.get(value, 0) >= sample for value, bound in bounds.items()):
             return table
         drop(table)
-        spare *= 64
+        times *= 64
 
 
 def memory_bytes(table: DataFrame) -> int:

@@ -17,6 +17,7 @@ from __future__ import annotations
 import heapq
 import zlib
 from collections import defaultdict
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +31,16 @@ from .common import documents, gapless_rank, written
 VOCABULARY, CAPACITY, END_ID = "word_bpe_49k.json", 2048, 1
 
 
-def pack_histogram(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns (lengths in the order they were placed) and how many packs have each."""
-    room: dict[int, list[tuple[tuple[int, ...], int]]] = defaultdict(list)
+#: What a pack holds, in the order it was placed: lengths and how often each follows.
+Runs = tuple[tuple[int, int], ...]
+
+
+def pack_runs(histogram: dict[int, int], capacity: int) -> list[tuple[Runs, int]]:
+    """Patterns and how many packs have each."""
+    room: dict[int, list[tuple[Runs, int]]] = defaultdict(list)
     spaces: list[int] = []  # heap of negated spaces, the shortest pack first
 
-    def put(space: int, pattern: tuple[int, ...], count: int) -> None:
+    def put(space: int, pattern: Runs, count: int) -> None:
         if not room[space]:
             heapq.heappush(spaces, -space)
         room[space].append((pattern, count))
@@ -50,39 +55,47 @@ def pack_histogram(histogram: dict[int, int], capacity: int) -> list[tuple[tuple
                 each = capacity // length
                 full, rest = divmod(left, each)
                 if full:
-                    put(capacity - each * length, (length,) * each, full)
+                    put(capacity - each * length, ((length, each),), full)
                 if rest:
-                    put(capacity - rest * length, (length,) * rest, 1)
+                    put(capacity - rest * length, ((length, rest),), 1)
                 break
             space = -spaces[0]
             pattern, count = room[space].pop()
             moved = min(count, left)
             if count > moved:
                 room[space].append((pattern, count - moved))
-            put(space - length, (*pattern, length), moved)
+            *before, (last, times) = pattern
+            longer = (*before, (last, times + 1)) if last == length else (*pattern, (length, 1))
+            put(space - length, longer, moved)
             left -= moved
     return [p for patterns in room.values() for p in patterns]
 
 
-def slots(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int, int, int, int]]:
+def pack_histogram(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """The same with every length written out."""
+    return [(tuple(n for n, times in runs for _ in range(times)), count) for runs, count in pack_runs(histogram, capacity)]
+
+
+def slots_of_runs(patterns: list[tuple[Runs, int]]) -> list[tuple[int, int, int, int, int, int]]:
     """``length, lo, hi, count, first sequence, first offset``: pieces with a rank from lo to hi - 1
     of that length go to sequence first + (rank - lo) % count, as its (rank - lo) // count-th."""
     out, used, sequence = [], defaultdict(int), 0
-    for pattern, count in sorted(patterns, reverse=True):
-        offset, k = 0, 0
-        while k < len(pattern):
-            length, times = pattern[k], 1
-            while k + times < len(pattern) and pattern[k + times] == length:
-                times += 1
+    for runs, count in sorted(patterns, reverse=True):
+        offset = 0
+        for length, times in runs:
             lo = used[length]
             used[length] = hi = lo + count * times
             out.append((length, lo, hi, count, sequence, offset))
             offset += length * times
-            k += times
         sequence += count
     return out
 
 
+def slots(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int, int, int, int]]:
+    """The same for patterns with every length written out."""
+    return slots_of_runs([(tuple((n, len(list(run))) for n, run in groupby(p)), count) for p, count in patterns])
+
+
 def pieces(docs: DataFrame, path: str, capacity: int, cache: int = CACHE, most: int = BATCH_BYTES) -> DataFrame:
     """``doc_id, start, length, ids_crc32, doc_tokens``: each document cut at multiples of the
     capacity. ``cache`` (words) and ``most`` (bytes of text at once) bound a worker's memory."""
@@ -107,7 +120,7 @@ def packed(docs: DataFrame, path: str, capacity: int = CAPACITY, cache: int = CA
     spark = docs.sparkSession
     cut = written(pieces(docs, path, capacity, cache, most), "pack-pieces")
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    rows = slots(pack_histogram(histogram, capacity))
+    rows = slots_of_runs(pack_runs(histogram, capacity))
     names = ("_length", "_lo", "_hi", "_count", "_first", "_offset")
     table = pa.table({n: pa.array([r[i] for r in rows], pa.int64()) for i, n in enumerate(names)})
     ranked = gapless_rank(cut, ["length"], [F.col("doc_id"), F.col("start"), F.col("ids_crc32")], F.xxhash64("doc_id", "start"), "_rank")

@@ -22,8 +22,8 @@ def sharding_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count_if((F.col("lo") != 0) | (F.col("hi") != F.col("n") - 1) | (F.col("slots") != F.col("n"))).alias("shards_with_gaps"), F.max("bytes").alias("most"), F.min("bytes").alias("least"),
     )
     split = found.join(docs, "doc_id").groupBy(F.coalesce("text", F.lit("")).alias("t")).agg(F.countDistinct("shard").alias("c")).agg(F.count_if(F.col("c") > 1).alias("split_texts"))
-    both = shards.join(F.broadcast(split), F.lit(True)).join(F.broadcast(groups), F.lit(True))  # one row each
-    return both.select("documents", "bytes", "shards", "shards_with_gaps", "split_texts", (F.col("most") - F.col("least") <= F.col("largest")).alias("balanced"))
+    rows = shards.unionByName(split, allowMissingColumns=True).unionByName(groups, allowMissingColumns=True)  # one row each
+    return rows.agg(*[F.max(c).alias(c) for c in rows.columns]).select("documents", "bytes", "shards", "shards_with_gaps", "split_texts", (F.col("most") - F.col("least") <= F.col("largest")).alias("balanced"))
 
 
 def pii_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

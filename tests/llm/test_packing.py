@@ -71,6 +71,19 @@ def test_little_padding_with_a_third_of_all_pieces_of_one_length(hot):
     assert sum(c for _, c in patterns) * 2048 <= 1.02 * used + 2048
 
 
+@pytest.mark.parametrize("histogram", [{100: 1_000_000}, {1: 1_000_000}, {20: 500_000, 50: 300_000}, {2: 1000, 1: 3000}, {2048: 7, 1: 50_000, 1999: 40}, {n: 2000 for n in range(1, 60)}])
+def test_short_and_equal_lengths_waste_no_more_than_a_sequence_a_length(histogram):
+    patterns = packing.pack_runs(histogram, 2048)
+    alone = sum(-(-c // (2048 // n)) for n, c in histogram.items())  # the best for each length by itself
+    assert sum(c for _, c in patterns) <= alone
+    held = defaultdict(int)
+    for runs, c in patterns:
+        assert sum(n * t for n, t in runs) <= 2048
+        for n, t in runs:
+            held[n] += t * c
+    assert held == histogram
+
+
 def test_slots_cover_ranks_and_offsets_without_gaps():
     rows = packing.slots([((6, 2, 2), 3), ((6, 4), 2), ((10,), 5)])
     seen, ranks = defaultdict(list), defaultdict(list)

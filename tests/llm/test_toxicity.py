@@ -220,8 +220,8 @@ def test_a_sample_is_full_for_any_number_of_rows(spark):
     for n in (10**4, 10**10, 4 * 10**18):
         bound = common.hash_bounds({"x": n}, 3000)["x"]
         share = (bound + 2**63) / 2**64
-        assert abs(share * n / 6000 - 1) < 0.001
-    assert common.hash_bounds({"x": 6000}, 3000) == {"x": None}
+        assert 3000 < share * n < 3400
+    assert common.hash_bounds({"x": 3000}, 3000) == {"x": None}
     rows = spark.range(20_000).select("id", F.when(F.col("id") % 5 == 0, "a").otherwise("b").alias("c"), F.lit(1).alias("same"))
     counts = {"a": 4000, "b": 16_000}
     got = common.least_hashed(rows, "c", counts, 50, ["id"], "t").collect()
