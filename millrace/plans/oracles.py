@@ -56,9 +56,10 @@ ORACLES = {
     "blind_spots": f"""{CAND} SELECT concat(least(count(*) FILTER (WHERE {ALL}), 5), ' of ', count(*), ' in today''s brief match') AS effect,
         concat(count(*) FILTER (WHERE fwd_pe IS NULL), ' with no P/E on file, ', count(*) FILTER (WHERE market_cap_usd IS NULL), ' with no market cap, ', count(*) FILTER (WHERE coalesce(sector, '') = ''), ' with no sector — those can''t be ruled out, so they stay.') AS gap FROM cand""",
     "brief_summary": f"""{CAND}, n AS (SELECT count(*) AS total, least(count(*) FILTER (WHERE {DEFAULT}), 3) AS shown FROM cand)
-        SELECT concat(shown, CASE WHEN shown = 1 THEN ' candidate' ELSE ' candidates' END) AS count_text, 'A quiet day.' AS note,
-        CASE WHEN total > shown THEN concat('Screened ', total, ' · showing the ', shown, ' that match your settings') END AS screened_text,
-        CASE WHEN shown = 0 THEN 'nothing' END AS nothing_text FROM n""",
+        SELECT 'whole' AS which, concat(shown, CASE WHEN shown = 1 THEN ' candidate' ELSE ' candidates' END) AS count_text, 'A quiet day.' AS note,
+        CASE WHEN total > shown THEN concat('Screened ', total, ' · showing the ', shown, ' that match your settings') END AS screened_text, NULL AS nothing_text FROM n
+        UNION ALL SELECT 'none', '0 candidates', NULL, concat('Screened ', count(*), ' · showing the 0 that match your settings'),
+        concat('The morning run found ', count(*), ' candidates, but none get through your filters. Loosen them in Settings.') FROM cand WHERE drop_pct IS NOT NULL""",
     "verdict_tally": f"""{CAND}, shown AS (SELECT lower(verdict) AS verdict FROM cand WHERE {DEFAULT}),
         kinds(rank, verdict, class, label) AS (VALUES (0, 'real bargain', 'bargain', 'real bargain'), (1, 'wait and see', 'wait', 'to watch'), (2, 'value trap', 'trap', 'value trap'))
         SELECT rank, verdict, class, label, count(*) AS n FROM kinds JOIN shown USING (verdict) GROUP BY ALL""",
@@ -71,7 +72,9 @@ ORACLES = {
         CASE lower(verdict) WHEN 'real bargain' THEN 'bargain' WHEN 'wait and see' THEN 'wait' WHEN 'value trap' THEN 'trap' ELSE 'neutral' END AS verdict_class, name,
         {_money('price')} AS price_text, CASE WHEN prev_close IS NOT NULL THEN {_money('prev_close')} END AS prev_text,
         CASE WHEN drop_pct IS NULL THEN '—' ELSE concat({_fixed('drop_pct', 1)}, '%') END AS drop_text, CASE WHEN drop_window <> '' THEN concat('over ', drop_window) END AS window_text,
-        business, lower(cause_type) AS cause_type, CASE lower(cause_type) WHEN 'one-off' THEN 'oneoff' WHEN 'fixable' THEN 'fixable' WHEN 'permanent' THEN 'permanent' ELSE 'neutral' END AS cause_class FROM cand""",
+        business, lower(cause_type) AS cause_type, CASE lower(cause_type) WHEN 'one-off' THEN 'oneoff' WHEN 'fixable' THEN 'fixable' WHEN 'permanent' THEN 'permanent' ELSE 'neutral' END AS cause_class,
+        CASE WHEN pos % 4 <> 0 THEN 'trouble at ' || name END AS cause, CASE WHEN pos % 5 <> 0 THEN 'demand holds' END AS must_go_right, CASE WHEN pos % 6 <> 0 THEN 'no more ' || name END AS could_go_wrong,
+        CASE WHEN pos % 7 = 0 THEN '' ELSE concat('Margin=', CASE WHEN pos % 3 = 0 THEN '—' ELSE concat(pos % 40, '%') END, '|Debt=', CASE WHEN pos % 4 = 0 THEN '—' ELSE 'low' END) END AS metrics FROM cand""",
     "metrics_shown": f"{CAND} SELECT pos, i, CASE WHEN i % 3 = 0 THEN '' ELSE concat('m', i) END AS label, {_VALUE} AS value FROM cand, (SELECT unnest(range(8)) AS i)",
     "watch_entries": f"""{CAND}, {USERS}, {DEEPS},
         d AS (SELECT upper(ticker) AS t, arg_min(pos, pos) AS pos, count(*) AS n FROM deeps WHERE ticker <> '' GROUP BY 1),

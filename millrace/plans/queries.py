@@ -69,7 +69,11 @@ def blind_spots(spark: SparkSession, d: str) -> DataFrame:
 
 
 def brief_summary(spark: SparkSession, d: str) -> DataFrame:
-    return screen.summary(screen.filter_stats(candidates(spark, d), st.Settings()), F.lit("A quiet day."))
+    """Of the whole screen with a note, and of one that nothing gets through, without."""
+    rows = candidates(spark, d)
+    whole = screen.summary(screen.filter_stats(rows, st.Settings()), F.lit("A quiet day."))
+    none = screen.summary(screen.filter_stats(rows.where("drop_pct is not null"), st.Settings(drop_threshold=1000)), F.lit(""))
+    return whole.withColumn("which", F.lit("whole")).union(none.withColumn("which", F.lit("none")))
 
 
 def verdict_tally(spark: SparkSession, d: str) -> DataFrame:
@@ -83,9 +87,17 @@ def range_position(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tearsheet_format(spark: SparkSession, d: str) -> DataFrame:
-    rows = candidates(spark, d)
-    rows = rows.withColumns({"cause": F.lit(None).cast("string"), "must_go_right": F.lit(None).cast("string"), "could_go_wrong": F.lit(None).cast("string"), "metrics": F.lit(None).cast("array<struct<label:string,value:string>>")})
-    return present.tearsheet(rows).select("pos", "ticker", "exchange", "verdict", "verdict_class", "name", "price_text", "prev_text", "drop_text", "window_text", "business", "cause_type", "cause_class")
+    rows, pos = candidates(spark, d), F.col("pos")
+    metric = lambda label, value: F.struct(F.lit(label).alias("label"), value.alias("value"))
+    metrics = F.array(metric("Margin", F.when(pos % 3 == 0, "n/a").otherwise(F.concat(pos % 40, F.lit("%")))), metric("Debt", F.when(pos % 4 != 0, F.lit("low"))))
+    rows = rows.withColumns({
+        "cause": F.when(pos % 4 == 0, "").otherwise(F.concat(F.lit("trouble at "), "name")),
+        "must_go_right": F.when(pos % 5 != 0, F.lit("demand holds")),
+        "could_go_wrong": F.when(pos % 6 == 0, "").otherwise(F.concat(F.lit("no more "), "name")),
+        "metrics": F.when(pos % 7 != 0, metrics),
+    })
+    shown = F.array_join(F.transform("metrics", lambda m: F.concat(m["label"], F.lit("="), m["value"])), "|").alias("metrics")
+    return present.tearsheet(rows).select("pos", "ticker", "exchange", "verdict", "verdict_class", "name", "price_text", "prev_text", "drop_text", "window_text", "business", "cause_type", "cause_class", "cause", "must_go_right", "could_go_wrong", shown)
 
 
 def metrics_shown(spark: SparkSession, d: str) -> DataFrame:
