@@ -151,5 +151,16 @@ ORACLES = {
     "settings_merged": """SELECT * FROM (VALUES (0, CAST(10 AS DOUBLE), 'M500', CAST(NULL AS DOUBLE), false, '', 3, '', true, true), (1, 10, 'M500', NULL, false, '', 3, '', true, true),
         (2, 15, 'M500', 12, false, '', 3, '', true, true), (3, 10, 'M500', NULL, false, 'Banks,Energy', -1, '', true, true), (4, 10, NULL, NULL, false, '', 3, 'XOM', false, true))
         AS v(n, drop_threshold, min_market_cap, max_pe, dividend_payers_only, excluded_sectors, candidate_count, watchlist, notify_on_new_brief, notify_on_watchlist_drop)""",
+    "store_roundtrip": """SELECT * FROM (VALUES ('missing', '"fallback"'), ('last', '"ümlaut"'), ('defaults', 'true'), ('settings', '12 XOM'),
+        ('snapshot: text', 'false'), ('snapshot: no array', 'false'), ('snapshot: good', 'true')) AS v(step, found)""",
+    "engine_refresh": f"""{CAND}, {USERS}, one AS (SELECT * FROM cand WHERE {SNAPSHOT} = 0), own AS (SELECT DISTINCT upper(ticker) AS t FROM users),
+        deep AS (SELECT upper(ticker) AS t FROM one WHERE {WATCHED} AND ticker <> '' GROUP BY 1),
+        hits AS (SELECT 0 AS src, pos, ticker, drop_pct FROM one WHERE {WATCHED} UNION ALL SELECT 1, pos, ticker, drop_pct FROM one WHERE upper(ticker) IN (SELECT t FROM own))
+        SELECT 'changed' AS step, 'True' AS found UNION ALL SELECT 'again', 'False' UNION ALL SELECT 'seen', 'False' UNION ALL SELECT 'marked', 'True'
+        UNION ALL SELECT 'shown', string_agg(ticker, '|' ORDER BY pos) FROM (SELECT ticker, pos FROM one WHERE {DEFAULT} ORDER BY pos LIMIT 3)
+        UNION ALL SELECT 'total', CAST(count(*) AS VARCHAR) FROM one
+        UNION ALL SELECT * FROM (SELECT 'hit', ticker FROM hits WHERE abs(drop_pct) >= 10 ORDER BY src, pos LIMIT 1)
+        UNION ALL SELECT 'spots', concat_ws('|', concat(count(*) FILTER (WHERE fwd_pe IS NULL), ' with no P/E on file'), concat(count(*) FILTER (WHERE market_cap_usd IS NULL), ' with no market cap'), concat(count(*) FILTER (WHERE coalesce(sector, '') = ''), ' with no sector')) FROM one
+        UNION ALL SELECT 'entries', string_agg(t, '|' ORDER BY t) FROM (SELECT t FROM deep UNION SELECT t FROM own)""",
     "settings_choices": "SELECT * FROM (VALUES (0, ''), (1, ''), (2, 'excluded_sectors'), (3, 'candidate_count,excluded_sectors'), (4, 'drop_threshold,min_market_cap'), (5, '')) AS v(n, outside)",
 }

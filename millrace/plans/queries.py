@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import atexit
+import json
+import shutil
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.api import Engine
 from millrace.functions import values
 from millrace.operators import contract, lists, posts, predicates, present, screen, watch
 from millrace.sources import settings as st
 from millrace.sources import snapshots
+from millrace.sources.store import Store
 from millrace.streaming import sync
 
 from .surrogate import SNAPSHOT, USER_LIST, candidates, deep_list, payloads
@@ -336,6 +343,50 @@ def settings_preview(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "n int, preview string, header string")
 
 
+def _scratch(spark: SparkSession) -> str:
+    """A new folder that the whole cluster sees; a local one where none is named and all is local."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        root = tempfile.mkdtemp(prefix="millrace-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
+    return f"{root.rstrip('/')}/store-{uuid.uuid4().hex}"
+
+
+def store_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """What a store gives back: the last value of a key, a fallback, merged settings, guarded snapshots."""
+    store, rows = Store(spark, _scratch(spark)), []
+    rows.append(("missing", json.dumps(store.get("none", "fallback"))))
+    store.put("key", {"a": [1, None]})
+    store.put("key", "ümlaut")
+    rows.append(("last", json.dumps(store.get("key"), ensure_ascii=False)))
+    rows.append(("defaults", json.dumps(store.settings() == st.Settings())))
+    store.put_settings(st.Settings(max_pe=12, watchlist=("XOM",)))
+    rows.append(("settings", f"{store.settings().max_pe:g} {','.join(store.settings().watchlist)}"))
+    for name, value in (("text", "brief"), ("no array", {"brief": {"candidates": {}}}), ("good", {"brief": {"candidates": []}, "seen": True})):
+        store.put(st.SNAPSHOT_KEY, value)
+        rows.append((f"snapshot: {name}", json.dumps(store.snapshot() is not None)))
+    return spark.createDataFrame(rows, "step string, found string")
+
+
+def engine_refresh(spark: SparkSession, d: str) -> DataFrame:
+    """One user's round over the first snapshot, published as a file: sync, show, mark as seen."""
+    folder = _scratch(spark)
+    payloads(spark, d).where("snapshot = 0").select("value").coalesce(1).write.text(f"{folder}/published")
+    engine = Engine(spark, f"{folder}/kv", f"{folder}/published")
+    engine.put_settings(WATCHING)
+    first = engine.refresh_brief()
+    brief, s = engine.get_brief(), engine.get_settings()
+    shown = [r["ticker"] for r in engine.filter_candidates(brief, s).orderBy("pos").collect()]
+    stats = engine.filter_stats(brief, s).first()
+    rows = [("changed", str(first["ok"])), ("shown", "|".join(shown)), ("total", str(stats["total"])), ("hit", first["watchlist_hit"]["ticker"]), ("seen", str(brief["seen"]))]
+    rows.append(("spots", "|".join(engine.blind_spots(brief, ALL))))
+    rows.append(("entries", "|".join(sorted(r["ticker"] for r in engine.watch_entries(brief, s).collect()))))
+    rows.append(("again", str(engine.refresh_brief()["ok"])))
+    engine.mark_seen()
+    rows.append(("marked", str(engine.get_brief()["seen"])))
+    return spark.createDataFrame(rows, "step string, found string")
+
+
 QUERIES: dict[str, Query] = {
     "screen_default": _screened(st.Settings()),
     "screen_tight": _screened(TIGHT),
@@ -385,4 +436,6 @@ QUERIES: dict[str, Query] = {
     "settings_preview": settings_preview,
     "settings_merged": settings_merged,
     "settings_choices": settings_choices,
+    "store_roundtrip": store_roundtrip,
+    "engine_refresh": engine_refresh,
 }
