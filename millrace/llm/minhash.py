@@ -42,7 +42,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrow import each, map_texts
-from .bpe import Recent
 from .common import columns_of, connected_components, documents, drop, row_of, sized, written
 
 #: Coordinates, and the probability with which a pair at the threshold may miss its collisions.
@@ -85,7 +84,6 @@ class Shingler:
 
     def __init__(self, words: int):
         self.k = words
-        self.word = Recent(lambda w: xxhash.xxh3_64_intdigest(w))
         self.weight = np.array([pow(0x9E3779B97F4A7C15 | 1, 2 * i + 1, 1 << 64) for i in range(words)], dtype=np.uint64)
 
     def __call__(self, text: str) -> np.ndarray:
@@ -93,7 +91,7 @@ class Shingler:
         found = text.encode("utf-8", "replace").lower().split()
         if not found:
             return np.empty(0, np.uint64)
-        h = np.fromiter(map(self.word.__getitem__, found), np.uint64, len(found))
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
         k = self.k
         if len(h) < k:  # the whole sequence; the length keeps it apart from longer ones
             return np.array([xxhash.xxh3_64_intdigest(b" ".join(found), seed=len(found))], np.uint64)
