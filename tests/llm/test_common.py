@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from millrace.llm.common import connected_components, drop, gapless_rank, shared_dir, written
+from millrace.llm.common import connected_components, drop, gapless_rank, memory_bytes, setting, shared_dir, sized, written
 
 
 def union_find(edges):
@@ -57,3 +57,25 @@ def test_dropping_deletes_written_tables_only(spark, tmp_path):
     own = spark.createDataFrame([(str(tmp_path),)], "_scratch_path string")
     drop(table, own, None)
     assert not os.path.exists(folder) and tmp_path.exists()
+
+
+def test_broadcast_sides_are_measured(spark):
+    """The estimate is above the size of the hash table that Spark reports."""
+    wide = written(spark.range(20_000).select(F.col("id").alias("_k"), F.concat(F.lit("x" * 50), "id").alias("s"), F.array("id", "id").alias("a")), "side")
+    assert 20_000 * 70 < memory_bytes(wide) < 20_000 * 600
+    assert memory_bytes(wide.limit(0)) == 0
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    join = lambda side: spark.range(10).join(side, F.col("id") == F.col("_k"))
+    assert "broadcast" in plan(join(sized(wide))) and "broadcast" not in plan(join(sized(wide, limit=1 << 20)))
+
+
+def test_settings_of_several_threads(spark):
+    key = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
+    before = spark.conf.get(key, None)
+    one, two = setting(spark, key, "false"), setting(spark, key, "false")
+    one.__enter__()
+    two.__enter__()
+    one.__exit__(None, None, None)
+    assert spark.conf.get(key) == "false"
+    two.__exit__(None, None, None)
+    assert spark.conf.get(key, None) == before

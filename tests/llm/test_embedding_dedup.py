@@ -68,6 +68,26 @@ def test_tables_grow_slowly_and_leave_out_few():
     assert ed.tables_for(8, threshold=1.0) == 1
 
 
+def test_recall_at_the_threshold_and_growth():
+    rng = np.random.default_rng(1)
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    a = unit(rng.standard_normal((5000, 64)))
+    b = rng.standard_normal(a.shape)
+    b = unit(b - (a * b).sum(axis=1, keepdims=True) * a)
+    c = rng.uniform(0.93, 0.94, (len(a), 1))
+    near = c * a + np.sqrt(1 - c * c) * b
+    for bits in (4, 6, 8, 12):
+        tables = ed.tables_for(bits)
+        met = (ed.sign_hashes(a, tables, bits) == ed.sign_hashes(near, tables, bits)).any(axis=1)
+        assert met.mean() >= 0.999
+    # four times the vectors: at most 6.5 times the products, where all pairs would be 16 times as many
+    products = []
+    for n, bits in ((4000, 5), (16_000, 7)):
+        signs = ed.sign_hashes(rng.standard_normal((n, 64)), ed.tables_for(bits), bits)
+        products.append(sum(int((np.bincount(t).astype(np.int64) ** 2).sum()) for t in signs.T))
+    assert products[1] <= 6.5 * products[0]
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0], 1), (2, [1.0, 0.0], 1), (3, [1.0, 0.01], 1), (4, [1.0, 0.0], 2), (5, [1.0, 0.0], None), (6, None, 1), (7, [], 1), (8, [0.0, 0.0], 1), (9, [1.0, nan], 1), (10, [inf, 1.0], 1), (11, [1.0, None], 1), (12, [1.0, 0.0, 0.0], 1), (13, [-1.0, 0.0], 1), (None, [1.0, 0.0], 1), (14, [1e-30, 0.0], 1), (15, [3e38, 3e36], 1)]
