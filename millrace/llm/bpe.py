@@ -64,14 +64,11 @@ class Recent(dict):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        self.keep(key, value)
-        return value
-
-    def keep(self, key, value) -> None:
-        if isinstance(key, int) or len(key) <= KEY:
+        if key.__class__ is int or len(key) <= KEY:
             if len(self) >= self.limit:
                 self.age()
             self[key] = value
+        return value
 
     def age(self) -> None:
         self.old = dict(self)
@@ -362,7 +359,7 @@ class ByteBpe(Bpe):
         super().__init__(path)
         self.counts = Recent(self.count_piece)
         #: the same for pieces that follow a space, without it
-        self.spaced = Recent(lambda piece: self.count_piece(" " + piece))
+        self.spaced = Recent(self._count_spaced)
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
@@ -374,6 +371,11 @@ class ByteBpe(Bpe):
                     out += self.encode_symbols(as_symbols(w))
         return out
 
+    def _count_spaced(self, piece: str) -> int:
+        if piece.isascii() and piece.isalpha():  # the pattern takes the space and all letters
+            return len(self.encode_symbols(_BYTES[32] + piece))
+        return self.count_piece(" " + piece)
+
     def count_piece(self, piece: str) -> int:
         n = 0
         for k, part in enumerate(self.split_special(piece)):
