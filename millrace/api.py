@@ -17,7 +17,7 @@ from millrace.operators.watch import entries_before_any_brief, user_list, watch_
 from millrace.sources.fetch import fetched
 from millrace.sources.schema import PAYLOAD, exploded, flat
 from millrace.sources.settings import CAPS, DISCLAIMER, SECTORS, SNAPSHOT_KEY, STALE_AFTER_MS, Settings, preview_line
-from millrace.sources.snapshots import epoch_ms, payload_status, status_code, status_message
+from millrace.sources.snapshots import epoch_ms, with_status
 from millrace.sources.store import Store
 from millrace.streaming.sync import refreshed, replaces
 
@@ -62,8 +62,7 @@ class Engine:
         if self.published.startswith(("http://", "https://")):
             rows = fetched(self.spark, self.published)
         else:
-            rows = self.spark.read.text(self.published, wholetext=True).withColumn("status", payload_status(F.col("value"))).withColumn("http", F.lit(200))
-            rows = rows.withColumns({"message": status_message(F.col("status"), F.col("http")), "code": status_code(F.col("status"), F.col("http"))})
+            rows = with_status(self.spark.read.text(self.published, wholetext=True), F.lit("response"), F.lit(200))
         stamp = epoch_ms(F.get_json_object("value", "$.generatedAt"), F.current_timestamp())
         row = rows.withColumn("ms", F.when(F.col("status") == "ok", stamp)).first()
         if row["status"] != "ok":
